@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+Everything the engine does is a batch question over an immutable dataset
+version, so there is no watermark, window-over-stream or state to keep.
+"""
