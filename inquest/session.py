@@ -14,6 +14,7 @@ def local_session(app: str = "inquest", cpus: int | str = "*", memory: str = "8g
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("INQUEST_DRIVER_MEMORY", memory))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
