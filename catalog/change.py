@@ -18,7 +18,7 @@ CONTRIBUTION = """
   contribution AS (
   SELECT per.dimension, "group", round(prev, 2) AS previous_per_period, round(curr, 2) AS current_per_period,
     round(change, 2) AS change, round(change / nullif(prev, 0) * 100, 2) AS change_pct,
-    round(CASE WHEN total = 0 THEN 0 ELSE change / total * 100 END, 2) AS contribution_to_total_change_pct,
+    round(CASE WHEN total = 0 THEN 0 ELSE change / total * 100 END, 2) + 0 AS contribution_to_total_change_pct,
     CASE WHEN total < 0 THEN 'decline' ELSE 'increase' END AS direction,
     round(total, 2) AS total_change_per_period,
     round(total / nullif(total_prev, 0) * 100, 2) AS total_change_pct, groups
@@ -150,7 +150,7 @@ def interaction_contribution(spark, sf):
      round((this - last) / last * 100, 2) AS year_on_year_pct, (this - last) / last * 100 < -5 AS survives FROM j""")
 def seasonal_check(spark, sf):
     return contribution.seasonal_check(load(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice",
-                                       "l_returnflag", "1999-01-01")
+                                       "l_returnflag", "1999-01-01").drop("dimension")
 
 
 @query()

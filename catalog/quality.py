@@ -80,10 +80,9 @@ def outlier_counts(spark, sf):
 
 @query()
 def anomaly_scores(spark, sf):
-    scored = anomalies.anomaly_scores(load(spark, sf, "lineitem"),
-                                      ["l_quantity", "l_extendedprice", "l_discount"],
-                                      ["l_orderkey", "l_linenumber"])
-    return scored.orderBy(F.desc("score"), "l_orderkey", "l_linenumber")
+    return anomalies.anomaly_scores(load(spark, sf, "lineitem"),
+                                    ["l_quantity", "l_extendedprice", "l_discount"],
+                                    ["l_orderkey", "l_linenumber"])
 
 
 @query()

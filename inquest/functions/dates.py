@@ -22,8 +22,9 @@ def parsed(col: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.NumericType):
         return F.lit(None).cast("timestamp")
     text = F.trim(col.cast("string"))
-    return F.coalesce(F.try_to_timestamp(text),
-                      *[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS])
+    # words without a digit are no dates; a failed attempt costs an exception in the JVM
+    return F.when(text.rlike("[0-9]"), F.coalesce(
+        F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in FORMATS]))
 
 
 def parsed_column(df: DataFrame, name: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inquest.functions.tables import broadcast_if_small, long_form
 
-BUFFERED_ROWS = 2_000_000
+BUFFERED_ROWS = 5_000_000
 GRID = 1000
 WHOLE_RANGE_ROWS = 5_000
 BINS = 1024
@@ -103,8 +103,15 @@ def _narrowed(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                      buffered_rows: int = BUFFERED_ROWS) -> DataFrame:
     """Quantiles of several columns at once: ``column``, ``q``."""
-    return grouped_quantiles(long_form(df, columns, "double"), ["column"], "value", probs,
-                             buffered_rows)
+    if df.count() * len(columns) > buffered_rows:
+        return _narrowed(long_form(df, columns, "double").where("value IS NOT NULL").select(
+            "column", F.col("value").alias("v")), ["column"], probs)
+    points = F.array(*[F.lit(float(p)) for p in probs])
+    wide = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), points).alias(f"q{i}")
+                    for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q"))
+                      for i, c in enumerate(columns)])
+    return wide.select(F.explode(cells).alias("r")).select("r.*").where("q IS NOT NULL")
 
 
 def quantile_values(df: DataFrame, columns: list[str], probs: list[float],

@@ -143,29 +143,29 @@ def arima(y: np.ndarray, horizon: int, period: int = 0):
     return points, points - margin, points + margin
 
 
-def _split(x: np.ndarray, r: np.ndarray):
+def _split(x: np.ndarray, r: np.ndarray, order: np.ndarray):
     """The cut that lowers the squared error most, over all features at once."""
-    n = len(r)
-    order = np.argsort(x, axis=0, kind="stable")
+    n = order.shape[0]
     xs = np.take_along_axis(x, order, axis=0)
-    left = np.cumsum(r[order], axis=0)[:-1]
-    size = np.arange(1, n)[:, None]
-    gain = left ** 2 / size + (r.sum() - left) ** 2 / (n - size)
+    sums = np.cumsum(r[order], axis=0)
+    left, size = sums[:-1], np.arange(1, n)[:, None]
+    gain = left ** 2 / size + (sums[-1] - left) ** 2 / (n - size)
     gain = np.where(xs[1:] > xs[:-1], gain, -np.inf)
-    at = int(np.argmax(gain))
-    row, f = divmod(at, x.shape[1])
+    row, f = divmod(int(np.argmax(gain)), x.shape[1])
     if not np.isfinite(gain[row, f]):
         return None
     return f, (xs[row, f] + xs[row + 1, f]) / 2.0
 
 
-def _tree(x: np.ndarray, r: np.ndarray, depth: int):
-    cut = _split(x, r) if depth > 0 and len(r) >= 2 and np.ptp(r) > 0 else None
+def _tree(x: np.ndarray, r: np.ndarray, depth: int, order: np.ndarray):
+    """A small tree. ``order`` holds the rows of this node sorted by each feature."""
+    cut = _split(x, r, order) if depth > 0 and len(order) >= 2 else None
     if cut is None:
-        return float(r.mean())
+        return float(r[order[:, 0]].mean())
     f, at = cut
-    below = x[:, f] <= at
-    return f, at, _tree(x[below], r[below], depth - 1), _tree(x[~below], r[~below], depth - 1)
+    below = (x[:, f] <= at)[order]
+    parts = [order.T[m.T].reshape(order.shape[1], -1).T for m in (below, ~below)]
+    return f, at, _tree(x, r, depth - 1, parts[0]), _tree(x, r, depth - 1, parts[1])
 
 
 def _walk(tree, x: np.ndarray) -> np.ndarray:
@@ -181,8 +181,9 @@ def _walk(tree, x: np.ndarray) -> np.ndarray:
 def boosted(x: np.ndarray, y: np.ndarray, stages: int = 200, rate: float = 0.05, depth: int = 3):
     """A predictor: the mean plus many shallow trees on what is left."""
     base, fitted, trees = float(y.mean()), np.full(len(y), y.mean()), []
+    order = np.argsort(x, axis=0, kind="stable")
     for _ in range(stages):
-        tree = _tree(x, y - fitted, depth)
+        tree = _tree(x, y - fitted, depth, order)
         trees.append(tree)
         fitted = fitted + rate * _walk(tree, x)
     return lambda z: base + rate * sum(_walk(t, z) for t in trees)
@@ -195,7 +196,8 @@ def lag_rows(y: np.ndarray, exog: np.ndarray | None, lags: int = 3):
     return (x if exog is None else np.column_stack([x, exog[lags:]])), y[lags:]
 
 
-def boosted_lags(y: np.ndarray, horizon: int, exog: np.ndarray | None, lags: int = 3):
+def boosted_lags(y: np.ndarray, horizon: int, exog: np.ndarray | None, lags: int = 3,
+                 banded: bool = True):
     """Step by step: each forecast becomes the next step's lag; external values stay put.
 
     The band comes from periods the model has not seen.
@@ -205,7 +207,9 @@ def boosted_lags(y: np.ndarray, horizon: int, exog: np.ndarray | None, lags: int
     x, target = lag_rows(y, exog, lags)
     held = max(3, len(target) // 5)
     model = boosted(x, target)
-    if len(target) > held + 6:
+    if not banded:
+        deviation = 0.0
+    elif len(target) > held + 6:
         unseen = boosted(x[:-held], target[:-held])
         deviation = float(np.std(target[-held:] - unseen(x[-held:])))
     else:
@@ -218,15 +222,15 @@ def boosted_lags(y: np.ndarray, horizon: int, exog: np.ndarray | None, lags: int
     return _banded(points, deviation)
 
 
-def fit(name: str, y: np.ndarray, horizon: int, period: int = 12, exog=None):
-    """Points, lower and upper bounds of the named model."""
+def fit(name: str, y: np.ndarray, horizon: int, period: int = 12, exog=None, banded: bool = True):
+    """Points, lower and upper bounds of the named model; ``banded`` off saves the bounds' cost."""
     models = {
         "naive": lambda: naive(y, horizon),
         "moving_average": lambda: moving_average(y, horizon),
         "ets": lambda: holt(y, horizon),
         "arima": lambda: arima(y, horizon),
         "sarima": lambda: arima(y, horizon, period),
-        "gbr": lambda: boosted_lags(y, horizon, exog),
+        "gbr": lambda: boosted_lags(y, horizon, exog, banded=banded),
     }
     if name not in models:
         raise ValueError(f"Unknown model: {name}")

@@ -44,6 +44,15 @@ def long_form(df: DataFrame, columns: list[str], as_type: str, keep: list[str] =
             .select(*keep, f"cell.{name}", f"cell.{value}"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for work that is heavy per row, when the input has fewer than cores.
+
+    Only a small input has so few partitions, so the extra shuffle is small too.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after counting it; otherwise leave the join to AQE."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from inquest.functions.quantiles import quantile_values
-from inquest.functions.tables import numeric_columns
+from inquest.functions.tables import numeric_columns, spread
 
 TREES, TREE_SAMPLE, MAX_Z = 150, 256, 8.0
 POOL_ROWS = TREES * TREE_SAMPLE
@@ -119,7 +119,7 @@ def anomaly_scores(df: DataFrame, columns: list[str] | None = None,
     rows = df.select(*keep, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x_"),
                      *[F.col(f"`{c}`").cast("double").alias(f"d_{i}") for i, c in enumerate(columns)])
     features = [f"d_{i}" for i in range(len(columns))]
-    rows = rows.dropna(subset=features)
+    rows = spread(rows.dropna(subset=features))
     n = rows.count()
     if n < 50:
         return None

@@ -167,27 +167,38 @@ def interaction_contribution(df: DataFrame, date: str, metric: str, by: list[str
         .orderBy(F.desc("contribution_to_total_change_pct"), "group"))
 
 
-def seasonal_check(df: DataFrame, date: str, metric: str, by: str, cutoff: str) -> DataFrame:
-    """Each group's months after the cutoff against the same months a year earlier."""
-    rows = _dated(df, date, metric, by)
-    monthly = (rows.where(F.col(f"`{by}`").isNotNull())
-               .groupBy(F.col(f"`{by}`").cast("string").alias("group"),
-                        F.trunc("ts", "month").alias("period"))
+def seasonal_check(df: DataFrame, date: str, metric: str, by: str | list[str], cutoff: str,
+                   only: dict[str, str] | None = None) -> DataFrame:
+    """Each group's months after the cutoff against the same months a year earlier.
+
+    ``only`` names the one group of each column that matters.
+    """
+    dimensions = [by] if isinstance(by, str) else list(by)
+    cells = long_form(_dated(df, date, metric, *dimensions), dimensions, "string", ["ts", metric],
+                      "dimension", "group").where("`group` IS NOT NULL")
+    if only:
+        chosen = F.lit(False)
+        for d, g in only.items():
+            chosen = chosen | ((F.col("dimension") == d) & (F.col("group") == g))
+        cells = cells.where(chosen)
+    keys = ["dimension", "group"]
+    monthly = (cells.groupBy(*keys, F.trunc("ts", "month").alias("period"))
                .agg(F.coalesce(F.sum(f"`{metric}`"), F.lit(0)).cast("double").alias("value")))
-    series = with_spine(monthly, ["group"], "period", "MS").fillna(0.0, ["value"])
+    series = with_spine(monthly, keys, "period", "MS").fillna(0.0, ["value"])
     late = F.col("n.period").cast("timestamp") >= F.lit(cutoff).cast("timestamp")
     paired = series.alias("n").join(
-        series.alias("p"), (F.col("n.group") == F.col("p.group"))
+        series.alias("p"), (F.col("n.dimension") == F.col("p.dimension"))
+        & (F.col("n.group") == F.col("p.group"))
         & (F.col("p.period") == F.add_months(F.col("n.period"), -12)), "left")
     has_pair = late & F.col("p.period").isNotNull()
-    sums = paired.groupBy(F.col("n.group").alias("group")).agg(
+    sums = paired.groupBy(F.col("n.dimension").alias("dimension"), F.col("n.group").alias("group")).agg(
         F.count(F.lit(1)).alias("months"), F.count_if(has_pair).alias("pairs"),
         F.sum(F.when(has_pair, F.col("p.value"))).alias("last"),
         F.sum(F.when(has_pair, F.col("n.value"))).alias("this"))
     checked = (F.col("months") >= 24) & (F.col("pairs") >= 2)
     yoy = F.when(F.col("last") != 0, (F.col("this") - F.col("last")) / F.col("last") * 100)
     return sums.select(
-        "group", "months", checked.alias("checked"),
+        "dimension", "group", "months", checked.alias("checked"),
         F.when(checked, F.col("pairs")).alias("months_compared"),
         F.when(checked, F.round("last", 2)).alias("same_months_last_year"),
         F.when(checked, F.round("this", 2)).alias("same_months_this_year"),
@@ -200,27 +211,36 @@ def seasonal_check(df: DataFrame, date: str, metric: str, by: str, cutoff: str)
 _TABLE_LIMIT = 64
 
 
-def _uniforms(keys: np.ndarray, draws: int) -> np.ndarray:
-    """One reproducible number in (0, 1) per key and draw (splitmix64 finaliser)."""
+def _hashes(keys: np.ndarray, draws: int) -> np.ndarray:
+    """Sixteen reproducible bits per key and draw (splitmix64 finaliser, four draws a word)."""
+    steps = np.arange(1, -(-draws // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64)[:, None] + (
-            np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        z = keys.astype(np.uint64)[:, None] + steps[None, :]
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-    return (z >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    return z.view(np.uint16)[:, :draws]
+
+
+def _poisson_table(mean: float) -> np.ndarray:
+    """The Poisson value for each of 65,536 equally likely cases."""
+    k = np.arange(int(mean + 12 * np.sqrt(mean) + 20))
+    steps = np.concatenate([[0.0], np.log(mean) - np.log(k[1:])])
+    cdf = np.cumsum(np.exp(np.cumsum(steps) - mean))
+    return np.searchsorted(cdf, (np.arange(65536) + 0.5) / 65536).astype(np.float64)
 
 
-def poisson_weights(keys: np.ndarray, counts: np.ndarray, draws: int) -> np.ndarray:
+def poisson_weights(keys: np.ndarray, counts: np.ndarray, draws: int,
+                    tables: dict | None = None) -> np.ndarray:
     """How often each counted row is drawn: Poisson with the row's count as its mean."""
+    tables = {} if tables is None else tables
     weights = np.empty((len(keys), draws))
     for c in np.unique(counts):
         at = np.flatnonzero(counts == c)
         if c <= _TABLE_LIMIT:
-            k = np.arange(int(c + 12 * np.sqrt(c) + 20))
-            steps = np.concatenate([[0.0], np.log(c) - np.log(k[1:])])
-            cdf = np.cumsum(np.exp(np.cumsum(steps) - c))
-            weights[at] = np.searchsorted(cdf, _uniforms(keys[at], draws))
+            if c not in tables:
+                tables[c] = _poisson_table(float(c))
+            weights[at] = tables[c][_hashes(keys[at], draws)]
         else:
             for i in at:
                 rng = np.random.default_rng(int(keys[i]) & 0xFFFFFFFFFFFFFFFF)
@@ -232,6 +252,7 @@ def _partial_sums(draws: int, flush: int = 2000):
     """Per task: add up weighted values per group and side before anything is shuffled."""
     def run(batches):
         sums: dict = {}
+        tables: dict = {}
 
         def rows():
             return pd.DataFrame({
@@ -240,16 +261,15 @@ def _partial_sums(draws: int, flush: int = 2000):
                 "w": [v[1] for v in sums.values()]})
 
         for pdf in batches:
-            for lo in range(0, len(pdf), 5000):
-                part = pdf.iloc[lo:lo + 5000]
-                counts = part["c"].to_numpy()
-                w = poisson_weights(part["h"].to_numpy(), counts, draws)
-                wv = w * part["m"].to_numpy(dtype=float)[:, None]
+            for lo in range(0, len(pdf), 2000):
+                part = pdf.iloc[lo:lo + 2000]
+                values = part["m"].to_numpy(dtype=float)
+                w = poisson_weights(part["h"].to_numpy(), part["c"].to_numpy(), draws, tables)
                 keyed = part.groupby(["dimension", "group", "late"], dropna=False, sort=False)
                 for key, at in keyed.indices.items():
                     key = (key[0], None if pd.isna(key[1]) else key[1], bool(key[2]))
                     old = sums.get(key, (0.0, 0.0))
-                    sums[key] = (old[0] + wv[at].sum(axis=0), old[1] + w[at].sum(axis=0))
+                    sums[key] = (old[0] + values[at] @ w[at], old[1] + w[at].sum(axis=0))
                 if len(sums) >= flush:
                     yield rows()
                     sums.clear()
@@ -278,7 +298,9 @@ def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list
         return df.sparkSession.createDataFrame([], schema)
     counted = (long_form(rows, dimensions, "string", ["late", "m"], "dimension", "group")
                .groupBy("dimension", "group", "late", "m").agg(F.count(F.lit(1)).alias("c"))
-               .withColumn("h", F.xxhash64("dimension", "group", "late", "m")))
+               .withColumn("h", F.xxhash64("dimension", "group", "late", "m"))
+               # many draws per row: keep the tasks that adaptive execution would merge
+               .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     partial = counted.mapInPandas(
         _partial_sums(draws),
         "dimension string, `group` string, late boolean, wv array<double>, w array<double>")

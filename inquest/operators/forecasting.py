@@ -113,7 +113,7 @@ def _fit_series(keys: list[str], exog: list[str], horizon: int, period: int):
                 continue
             train_x = x[:cut] if x is not None and row["model_name"] == "gbr" else None
             try:
-                guess = sm.fit(row["model_name"], y[:cut], 1, period, train_x)[0]
+                guess = sm.fit(row["model_name"], y[:cut], 1, period, train_x, banded=False)[0]
             except (ValueError, np.linalg.LinAlgError, FloatingPointError):
                 continue
             test = y[cut:cut + 1]

@@ -78,18 +78,19 @@ class ColumnFacts:
         return "text" if (self.measured.get("length") or 0) > 50 else "categorical"
 
 
-def _measures(f: T.StructField, now: dt.datetime) -> dict:
-    """Aggregates of one column, all computed in the same scan."""
+def _measures(f: T.StructField, now: dt.datetime, at: int) -> tuple[list, dict]:
+    """Columns to derive first and aggregates over them, for one column of the table."""
     c = F.col(f"`{f.name}`")
     if is_numeric(f.dataType):
-        return {"min": F.min(c).cast("double"), "max": F.max(c).cast("double"),
-                "mean": F.avg(c), "std": F.stddev_samp(c), "negative": F.count_if(c < 0)}
-    found = {}
+        return [], {"min": F.min(c).cast("double"), "max": F.max(c).cast("double"),
+                    "mean": F.avg(c), "std": F.stddev_samp(c), "negative": F.count_if(c < 0)}
+    derived, found = [], {}
     text = c.cast("string")
     if is_time(f.dataType) or hinted(f.name, DATE_HINTS):
-        ts = parsed(c, f.dataType)
+        ts, offset = F.col(f"ts_{at}"), F.col(f"offset_{at}")
+        derived = [parsed(c, f.dataType).alias(f"ts_{at}"),
+                   F.nullif(F.regexp_extract(text, OFFSET_PATTERN, 1), F.lit("")).alias(f"offset_{at}")]
         late = F.lit((now + dt.timedelta(days=365)).isoformat(" ")).cast("timestamp")
-        offset = F.nullif(F.regexp_extract(text, OFFSET_PATTERN, 1), F.lit(""))
         found |= {"dates": F.count(ts), "first": F.date_format(F.min(ts), "yyyy-MM-dd HH:mm:ss"),
                   "last": F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss"),
                   "future": F.count_if(ts > late),
@@ -99,12 +100,13 @@ def _measures(f: T.StructField, now: dt.datetime) -> dict:
                   "with_offset": F.count(offset)}
     if isinstance(f.dataType, T.StringType):
         unit = F.lower(F.regexp_extract(text, UNIT_PATTERN, 1))
+        derived += [F.when(unit.isin(*UNIT_TOKENS), unit).alias(f"unit_{at}")]
         found |= {"length": F.avg(F.length(text)),
                   "padded": F.count_if(text != strip(text)),
-                  "units": F.sort_array(F.collect_set(F.when(unit.isin(*UNIT_TOKENS), unit)))}
+                  "units": F.sort_array(F.collect_set(f"unit_{at}"))}
     elif not is_time(f.dataType):
         found["length"] = F.avg(F.length(text))
-    return found
+    return derived, found
 
 
 def value_table(df: DataFrame) -> DataFrame:
@@ -116,10 +118,11 @@ def value_table(df: DataFrame) -> DataFrame:
 def column_facts(df: DataFrame, now: dt.datetime | None = None) -> dict[str, ColumnFacts]:
     """Two scans: one wide aggregate, and one table of value counts for the rest."""
     now = now or dt.datetime.now()
-    measures = {f.name: _measures(f, now) for f in df.schema}
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+    measures = {f.name: _measures(f, now, i) for i, f in enumerate(df.schema)}
+    derived = df.select("*", *[d for ds, _ in measures.values() for d in ds])
+    row = derived.agg(F.count(F.lit(1)).alias("rows"), *[
         F.struct(F.count(f"`{c}`").alias("present"), *[e.alias(k) for k, e in m.items()])
-        .alias(f"c{i}") for i, (c, m) in enumerate(measures.items())]).first()
+        .alias(f"c{i}") for i, (c, (_, m)) in enumerate(measures.items())]).first()
     facts = {}
     for i, f in enumerate(df.schema):
         measured = row[f"c{i}"].asDict()

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inquest.constants import (CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_DIM, EMBEDDING_SIGNATURE,
                                MIN_ANSWER_SCORE, MIN_DEFINITION_SCORE, STORED_TEXT_CHARS)
-from inquest.functions.strings import strip, words
+from inquest.functions.strings import strip
+from inquest.functions.tables import spread
 from inquest.functions.vectors import cosine_to, text_vector, token_buckets, unit_vector
 
 CONTEXT_TYPES = ["business_doc", "web_page"]
@@ -50,15 +51,18 @@ def chunk_documents(docs: DataFrame, document_id: str = "document_id", text: str
 
 
 def embed(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """``vector``, its ``norm`` and the model signature; no shuffle."""
-    return (chunks.withColumn("vector", unit_vector(F.col(text)))
-            .withColumn("norm", F.when(F.size(words(F.col(text))) > 0, 1.0).otherwise(0.0))
-            .withColumn("embedding", F.lit(EMBEDDING_SIGNATURE)))
+    """``vector``, its ``norm``, the word count and the model signature."""
+    return (spread(chunks).withColumn("unit_", unit_vector(F.col(text)))
+            .withColumn("vector", F.col("unit_.vector"))
+            .withColumn("norm", F.when(F.col("unit_.tokens") > 0, 1.0).otherwise(0.0))
+            .withColumn("token_count", F.col("unit_.tokens"))
+            .withColumn("embedding", F.lit(EMBEDDING_SIGNATURE)).drop("unit_"))
 
 
 def bucket_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The same vectors in sparse form: ``key``, ``bucket`` and the unit ``weight``."""
-    tokens = docs.select(key, F.explode(token_buckets(F.col(text))).alias("bucket"))
+    tokens = spread(docs.select(key, text)).select(
+        key, F.explode(token_buckets(F.col(text))).alias("bucket"))
     counts = tokens.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / length).alias("weight"))
@@ -66,8 +70,7 @@ def bucket_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def index_documents(docs: DataFrame, document_id: str = "document_id") -> DataFrame:
     """Documents to searchable chunks."""
-    return (embed(chunk_documents(docs, document_id))
-            .withColumn("token_count", F.size(words(F.col("content")))))
+    return embed(chunk_documents(docs, document_id))
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def reembed(chunks: DataFrame) -> DataFrame:
     keep = chunks.withColumn("stale_", _is_stale())
     columns = chunks.columns
     return (keep.where(~F.col("stale_")).select(*columns).unionByName(
-        embed(keep.where(F.col("stale_")).drop("vector", "norm", "embedding")).select(*columns)))
+        embed(keep.where(F.col("stale_")).drop("vector", "norm", "embedding", "token_count")).select(*columns)))
 
 
 def index_health(chunks: DataFrame) -> DataFrame:

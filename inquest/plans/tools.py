@@ -173,14 +173,14 @@ def _contribution(df: DataFrame, p: dict) -> dict:
                            ["dimension", "group"], "left").orderBy(
             "dimension", F.desc("contribution_to_total_change_pct"), "group")
     result = {"operation": "period_contribution", **frame_result(table)}
-    seasons = {}
+    leads: dict[str, str] = {}
     for d in dims:
-        lead = next((r for r in result["rows"] if r["dimension"] == d), None)
-        if lead is None:
-            continue
-        one = df.where(F.col(f"`{d}`").cast("string") == lead["group"])
-        row = contribution.seasonal_check(one, date, metric, d, str(split.cutoff)).first()
-        seasons[d] = plain(row.asDict()) if row else None
+        row = contribution.leading_group(table, d) if "fingerprint" in result else next(
+            (r for r in result["rows"] if r["dimension"] == d), None)
+        if row:
+            leads[d] = row["group"]
+    checks = contribution.seasonal_check(df, date, metric, dims, str(split.cutoff), leads)
+    seasons = {r["dimension"]: plain(r.asDict()) for r in checks.collect()} if leads else {}
     return result | {"seasonality": seasons, "split_date": split.date, "split_method": split.method,
                      "split_strength": plain(split.strength)}
 
