@@ -1,15 +1,15 @@
 """Exact quantiles that stay distributed.
 
-``percentile`` keeps every distinct value of a group in one buffer, so it is used
-only when the table was counted and is small. Past that size the rank is found by
-narrowing: a sketch brackets each wanted rank, the rows inside the bracket are
-counted per value, equal-width bins cut the bracket again, and only the values
-of the last bin are ordered. The result is the same linear interpolation.
+Sorting a group's values in one buffer is used only when the table was counted and is
+small. Past that size the rank is found by narrowing: a sketch brackets each wanted
+rank, the rows inside the bracket are counted per value, equal-width bins cut the
+bracket again, and only the values of the last bin are ordered. Both interpolate
+linearly and give the same result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inquest.functions.tables import broadcast_if_small, long_form
 
@@ -24,11 +24,21 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     """``keys`` plus ``q``, an array with one exact quantile per probability."""
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
     if rows.count() <= buffered_rows:
-        return rows.groupBy(*keys).agg(
-            F.percentile("v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
+        return (rows.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("s"))
+                .select(*keys, _at_ranks(F.col("s"), probs).alias("q")))
     return _narrowed(rows, keys, probs)
 
 
+def _at_ranks(ordered: Column, probs: list[float]) -> Column:
+    """Linear interpolation inside a sorted array; faster here than ``percentile``."""
+    def one(p: float) -> Column:
+        at = F.lit(float(p)) * (F.size(ordered) - 1)
+        low = F.floor(at).cast("int")
+        a = F.get(ordered, low)
+        return a + (F.coalesce(F.get(ordered, low + 1), a) - a) * (at - low)
+    return F.when(F.size(ordered) > 0, F.array(*[one(p) for p in probs]))
+
+
 def _narrowed(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
     ids = [f"k{i}" for i in range(len(keys))]
     rows = rows.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], "v")
@@ -106,10 +116,9 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     if df.count() * len(columns) > buffered_rows:
         return _narrowed(long_form(df, columns, "double").where("value IS NOT NULL").select(
             "column", F.col("value").alias("v")), ["column"], probs)
-    points = F.array(*[F.lit(float(p)) for p in probs])
-    wide = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), points).alias(f"q{i}")
+    wide = df.agg(*[F.sort_array(F.collect_list(F.col(f"`{c}`").cast("double"))).alias(f"s{i}")
                     for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"q{i}").alias("q"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), _at_ranks(F.col(f"s{i}"), probs).alias("q"))
                       for i, c in enumerate(columns)])
     return wide.select(F.explode(cells).alias("r")).select("r.*").where("q IS NOT NULL")
 

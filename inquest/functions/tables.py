@@ -44,13 +44,15 @@ def long_form(df: DataFrame, columns: list[str], as_type: str, keep: list[str] =
             .select(*keep, f"cell.{name}", f"cell.{value}"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for work that is heavy per row, when the input has fewer than cores.
+def spread(df: DataFrame, bytes_per_core: int = 8 << 20) -> DataFrame:
+    """One partition per core for work that is heavy per row, when the input is small.
 
-    Only a small input has so few partitions, so the extra shuffle is small too.
+    A small file is a single task otherwise. Judged by the planner's size estimate, so
+    nothing runs; a large input has enough partitions and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from inquest.functions.dates import parsed_column, with_spine
 from inquest.functions.quantiles import quantile_values
-from inquest.functions.tables import long_form, require_columns
+from inquest.functions.tables import long_form, require_columns, spread
 from inquest.operators.changepoints import change_points
 
 MIN_STRENGTH, FALLBACK_QUANTILE = 0.25, 0.67
@@ -296,7 +296,7 @@ def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list
     schema = "dimension string, `group` string, low double, high double, draws long"
     if any(side not in spans or spans[side]["rows"] < least for side in (False, True)):
         return df.sparkSession.createDataFrame([], schema)
-    counted = (long_form(rows, dimensions, "string", ["late", "m"], "dimension", "group")
+    counted = (long_form(spread(rows.drop("month")), dimensions, "string", ["late", "m"], "dimension", "group")
                .groupBy("dimension", "group", "late", "m").agg(F.count(F.lit(1)).alias("c"))
                .withColumn("h", F.xxhash64("dimension", "group", "late", "m"))
                # many draws per row: keep the tasks that adaptive execution would merge

@@ -15,7 +15,7 @@ from inquest.constants import (AMOUNT_HINTS, CUSTOMER_HINTS, DATE_HINTS, GEOGRAP
 from inquest.functions.dates import parsed
 from inquest.functions.quantiles import quantile_values
 from inquest.functions.strings import collapsed, similarity, strip
-from inquest.functions.tables import is_numeric, is_time, long_form
+from inquest.functions.tables import is_numeric, is_time, long_form, spread
 from inquest.operators.anomalies import anomalous_rows, outlier_counts
 
 MAX_LABELS, MIN_LABEL_CHARS, MAX_LENGTH_GAP, MIN_RATIO = 60, 4, 3, 0.8
@@ -111,7 +111,7 @@ def _measures(f: T.StructField, now: dt.datetime, at: int) -> tuple[list, dict]:
 
 def value_table(df: DataFrame) -> DataFrame:
     """How often each value of each column occurs: ``column``, ``value``, ``n``."""
-    return (long_form(df, df.columns, "string").where("value IS NOT NULL")
+    return (long_form(spread(df), df.columns, "string").where("value IS NOT NULL")
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -239,8 +239,9 @@ def investigate(ws: Workspace, question: str, dataset_id: str, start: str | None
     version = ws.versions.scoped(dataset_id, start, end, version_id)
     ws.hold(version)
     try:
-        return _run(ws, question, dataset_id, version, owner, horizon, stages, investigation_id,
-                    now or dt.datetime.now().replace(microsecond=0).isoformat())
+        with ws.records.batch():
+            return _run(ws, question, dataset_id, version, owner, horizon, stages, investigation_id,
+                        now or dt.datetime.now().replace(microsecond=0).isoformat())
     finally:
         ws.release()
 

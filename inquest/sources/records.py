@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -83,13 +85,37 @@ class RecordStore:
 
     spark: SparkSession
     root: str
+    pending: dict | None = None
 
     def _path(self, name: str) -> str:
         return f"{self.root}/records/{name}"
 
+    @contextmanager
+    def batch(self):
+        """Hold back appended rows and write each table once at the end.
+
+        For one investigation, whose rows are tens; reads see them at once.
+        """
+        if self.pending is not None:
+            yield
+            return
+        self.pending = {}
+        try:
+            yield
+        finally:
+            held, self.pending = self.pending, None
+            for name, rows in held.items():
+                self._frame(name, rows).coalesce(1).write.mode("append").parquet(self._path(name))
+
+    def _frame(self, name: str, rows: list[dict]) -> DataFrame:
+        return self.spark.createDataFrame(rows, SCHEMAS[name] + ", recorded_at timestamp")
+
     def append(self, name: str, rows: list[dict]) -> list[dict]:
         rows = [{"id": str(uuid.uuid4()), **r} for r in rows]
-        if rows:
+        if rows and self.pending is not None:
+            self.pending.setdefault(name, []).extend(
+                r | {"recorded_at": dt.datetime.now(dt.timezone.utc)} for r in rows)
+        elif rows:
             frame = self.spark.createDataFrame(rows, SCHEMAS[name])
             self.append_frame(name, frame)
         return rows
@@ -104,16 +130,24 @@ class RecordStore:
         try:
             table = self.spark.read.schema(schema).parquet(self._path(name))
         except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+            table = self.spark.createDataFrame([], schema)
+        held = (self.pending or {}).get(name)
+        if held:
+            table = table.unionByName(self._frame(name, held))
         if name == "deleted":
             return table
         return without_deleted(latest(table), self.read("deleted"), name)
 
     def update(self, name: str, key: str, **changes) -> None:
-        row = self.read(name).where(F.col("id") == key).drop("recorded_at").first()
-        if row is None:
-            raise ValueError(f"No row {key} in {name}")
-        self.append(name, [row.asDict(recursive=True) | changes])
+        held = [r for r in (self.pending or {}).get(name, []) if r["id"] == key]
+        if held:
+            row = {k: v for k, v in held[-1].items() if k != "recorded_at"}
+        else:
+            found = self.read(name).where(F.col("id") == key).drop("recorded_at").first()
+            if found is None:
+                raise ValueError(f"No row {key} in {name}")
+            row = found.asDict(recursive=True)
+        self.append(name, [row | changes])
 
     def delete(self, name: str, key: str) -> None:
         """Delete a row, everything below it, and the report documents indexed for it."""
