@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from inquest.operators import drivers, joining, retrieval, summaries
 from inquest.plans.tools import (Workspace, call_tool, generate_recommendations, index_report,
@@ -231,6 +232,22 @@ def _test_trend(ws: Workspace, inv: str, dataset: dict, plan: dict, h: dict) ->
 
 # --- the investigation -------------------------------------------------------
 
+SMALL_ROWS = 1_000_000
+
+
+@contextmanager
+def few_partitions(spark: SparkSession, rows: int):
+    """Two shuffle partitions while a small version is examined; a large one keeps its own."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if rows < SMALL_ROWS:
+        spark.conf.set(key, str(min(2, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def investigate(ws: Workspace, question: str, dataset_id: str, start: str | None = None,
                 end: str | None = None, version_id: str | None = None, owner: str | None = None,
                 horizon: int = 3, stages: tuple = STAGES, investigation_id: str | None = None,
@@ -239,7 +256,7 @@ def investigate(ws: Workspace, question: str, dataset_id: str, start: str | None
     version = ws.versions.scoped(dataset_id, start, end, version_id)
     ws.hold(version)
     try:
-        with ws.records.batch():
+        with ws.records.batch(), few_partitions(ws.spark, version["row_count"]):
             return _run(ws, question, dataset_id, version, owner, horizon, stages, investigation_id,
                         now or dt.datetime.now().replace(microsecond=0).isoformat())
     finally:
