@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from inquest.constants import MAX_SECRET_VALUES, MIN_SECRET_CHARS, REDACTED
 from inquest.functions.strings import strip
-from inquest.functions.tables import long_form
 
 
 def sensitive_values(df: DataFrame, columns: list[str],
@@ -15,12 +14,13 @@ def sensitive_values(df: DataFrame, columns: list[str],
 
     The list travels to every task as one pattern, so it is limited per column by design.
     """
-    named = [c for c in columns if c in df.columns]
-    values = (long_form(df, named, "string").select("column", strip(F.col("value")).alias("value"))
-              .where(F.length("value") >= MIN_SECRET_CHARS).distinct())
-    order = Window.partitionBy("column").orderBy("value")
-    return (values.withColumn("k_", F.row_number().over(order))
-            .where(F.col("k_") <= per_column).drop("k_"))
+    found = df.sparkSession.createDataFrame([], "`column` string, value string")
+    for c in [c for c in columns if c in df.columns]:
+        values = (df.select(F.lit(c).alias("column"), strip(F.col(f"`{c}`").cast("string")).alias("value"))
+                  .where(F.length("value") >= MIN_SECRET_CHARS).distinct())
+        # a top-k per column keeps the limit inside each task, which a window would not
+        found = found.unionByName(values.orderBy("value").limit(per_column))
+    return found
 
 
 def _escaped(ch: str) -> str:
