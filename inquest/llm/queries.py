@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inquest.llm import bytepairs, mixing, simhash, topk
-from inquest.llm.common import ORACLES, QUERIES, query, table
+from inquest.llm import (bytepairs, licences, lines, mixing, pii, simhash, sketches, tokencounts,
+                         topk, toxicity)
+from inquest.llm.common import ORACLES, QUERIES, query, shared_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -30,6 +33,11 @@ def op1_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+@query()
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, folder, "documents"))
+
+
 @query()
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
@@ -37,6 +45,21 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+@query()
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return licences.scan(docs, licences.train(docs))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.scores(docs, model).select(
+        "doc_id", toxicity.fold(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query()
 def op6_simhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(table(spark, folder, "documents"))
@@ -48,3 +71,47 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bytepairs.round_trip(table(spark, folder, "documents"),
                                 public_tokenizers.path("byte_bpe_50k.tiktoken"),
                                 public_tokenizers.PATTERN)
+
+
+@query(r"""
+WITH d AS (SELECT *, row_number() OVER () AS r FROM documents),
+l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+t AS (
+  SELECT d.source, d.lang, coalesce(CASE WHEN l.toxic = 1
+           THEN regexp_replace(d.text, '[0-9]+', '', 'g') ELSE d.text END, '') AS text
+  FROM d LEFT JOIN l USING (doc_id) WHERE coalesce(l.quality, 1) <> 0),
+c AS (
+  SELECT source, lang, 'words-1' AS version,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM t
+  UNION ALL
+  SELECT source, lang, 'pieces-1',
+         len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\x00-\x20A-Za-z0-9]')) FROM t)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens
+FROM c GROUP BY ALL
+""")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents come in; toxic ones are revised, poor ones deleted; both are sent twice."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    rollup = tokencounts.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.apply("load", inserts=tokencounts.counted(docs, F.col("text")))
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    poor = labels.filter("quality = 0").select("doc_id")
+    for _ in range(2):
+        rollup.apply("revise", revisions=tokencounts.counted(
+            docs.join(toxic, "doc_id", "left_semi"), F.regexp_replace("text", "[0-9]+", "")))
+        rollup.apply("delete", deletes=poor)
+    return rollup.totals()
+
+
+@query()
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(pii.spans(table(spark, folder, "documents")))
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.without_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.size(F.split(F.coalesce("__before", F.lit("")), "\n"))
+                       .alias("n_lines"), F.size("__gone").alias("n_removed"),
+                       F.array_join("__gone", ",").alias("removed_lines"),
+                       F.sha2("text", 256).alias("kept_sha256"))
