@@ -38,6 +38,19 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` to the shared folder, dealt by ``key``: grouping or joining by it moves nothing."""
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"inquest_{uuid.uuid4().hex}"
+    (df.repartition(parts, key).write.format("parquet").bucketBy(parts, key)
+     .option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name))
+    out = spark.table(name)
+    out.schema                                   # resolved; the files outlive the name
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def present(text: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(text, F.lit(""))
@@ -48,5 +61,5 @@ def broadcast_within(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> Da
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-__all__ = ["WORD", "SPACE", "QUERIES", "ORACLES", "query", "table", "spool", "present",
+__all__ = ["WORD", "SPACE", "QUERIES", "ORACLES", "query", "table", "spool", "bucketed", "present",
            "broadcast_within", "cut_lineage", "shared_folder"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inquest.llm import (bytepairs, licences, lines, mixing, pii, simhash, sketches, tokencounts,
                          topk, toxicity)
-from inquest.llm.common import ORACLES, QUERIES, query, shared_folder, table
+from inquest.llm.common import ORACLES, QUERIES, broadcast_within, query, shared_folder, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -94,7 +94,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     rollup = tokencounts.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
     rollup.apply("load", inserts=tokencounts.counted(docs, F.col("text")))
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    toxic = broadcast_within(labels.filter("toxic = 1").select("doc_id").distinct(), 16)
     poor = labels.filter("quality = 0").select("doc_id")
     for _ in range(2):
         rollup.apply("revise", revisions=tokencounts.counted(

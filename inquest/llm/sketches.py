@@ -5,8 +5,8 @@ digest is added to three cells of a sketch, one in each third: a count, the dige
 their checks' XOR. Two versions' sketches of equal size subtract cell by cell; what they share
 cancels. Peeling then takes out cells that hold a single digest, again and again, which recovers
 the digests that differ. If cells remain, both sketches are built again with ``GROWTH`` times
-the cells. Only cells that hold something are rows, and all rows of a document stay in the
-partition its texts were dealt to, so sketching, subtracting and peeling shuffle nothing.
+the cells. Only cells that hold something are rows, and the digests are stored in buckets by
+document, so sketching, subtracting and peeling shuffle nothing.
 
 The fingerprint is the smallest sketch, written out in hexadecimal. Likeness of two versions is
 the number of shared digests over that of all digests, from the sizes and the difference.
@@ -22,12 +22,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inquest.llm.common import cut_lineage, present
+from inquest.llm.common import bucketed, cut_lineage, present
 
 CUT = r"\n| (?<=[.!?] )"
 CELLS, GROWTH, SIZES = 24, 16, 5      # cells at first, times more on failure, sizes tried
 TURNS = 4                             # times each third is peeled at one size
-DOC = ["range", "r"]                  # a row of the table, in the range that its id is in
+DOC = ["r"]                           # the number of a row of the table
 PAIR = [*DOC, "pair"]                 # 1: text and edited text, 2: text and next text
 
 
@@ -51,7 +51,7 @@ def summed(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def sketches(versions: DataFrame, cells: int) -> DataFrame:
-    """The cells of each version; ``versions`` has ``range, r, v, digests``."""
+    """The cells of each version; ``versions`` has ``r, v, digests``."""
     third = cells // 3
     key = F.col("key")
     items = versions.select(*DOC, "v", F.explode("digests").alias("key"))
@@ -70,7 +70,7 @@ def subtracted(cells: DataFrame) -> DataFrame:
 
 
 def peeled(cells: DataFrame, size: int) -> DataFrame:
-    """``range, r, pair, found, stuck``: digests recovered from a difference, and cells left.
+    """``r, pair, found, stuck``: digests recovered from a difference, and cells left.
 
     The thirds take turns. Within one, a digest has a single cell, so each that is alone in its
     cell is found once; it leaves its other two cells, and cell -1 counts it.
@@ -105,47 +105,45 @@ def by_row(pairs: DataFrame) -> DataFrame:
 
 
 def versions(rows: DataFrame, columns: dict[int, str]) -> DataFrame:
-    """``range, r, v, digests`` from one row per document."""
+    """``r, v, digests`` from one row per document."""
     return rows.select(*DOC, F.explode(F.array(*[
         F.struct(F.lit(v).alias("v"), F.col(c).alias("digests"))
         for v, c in columns.items()])).alias("x")).select(*DOC, "x.v", "x.digests")
 
 
 def differences(rows: DataFrame) -> DataFrame:
-    """``range, r, d1, d2, fp0, fp1``: digests not shared, and the written smallest sketches.
+    """``r, d1, d2``: digests not shared, or -1, and ``fp0, fp1``, the smallest sketches' bytes.
 
-    ``rows`` is materialised and has ``range, r, a, e, b``.
+    ``rows`` is bucketed by ``r`` and has ``a, e, b``.
     """
     first = sketches(versions(rows, {0: "a", 1: "e", 2: "b"}), CELLS)
 
     def hexed(x: Column, n: int) -> Column:
-        return F.lower(F.lpad(F.hex(x), n, "0"))
+        return F.lpad(F.hex(x), n, "0")
     cell = F.concat(hexed(F.col("cell"), 2), hexed(F.col("n"), 4), hexed(F.col("key"), 16),
                     hexed(F.col("sum").bitwiseAND(F.lit(0xFFFFFFFF)), 8))
-    lists = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("v") == v, cell))), "")
+    lists = [F.unhex(F.array_join(F.sort_array(F.collect_list(F.when(F.col("v") == v, cell))), ""))
              .alias(f"fp{v}") for v in (0, 1)]
     written = first.filter("v < 2").groupBy(*DOC).agg(*lists)
     done = cut_lineage(rows.select(*DOC).join(by_row(peeled(subtracted(first), CELLS)), DOC, "left")
                        .na.fill(0, ["d1", "d2"]))
     out, size = done.filter("d1 >= 0 AND d2 >= 0"), CELLS
     for _ in range(SIZES - 1):
-        left = done.filter("d1 < 0 OR d2 < 0")
+        left = done.filter("d1 < 0 OR d2 < 0").select(
+            *DOC, F.col("d1").alias("o1"), F.col("d2").alias("o2"))
         if left.isEmpty():
-            break
+            return written.join(out, DOC)
         size *= GROWTH
-        again = rows.join(left.select(*DOC, F.col("d1").alias("o1"), F.col("d2").alias("o2")), DOC)
         # a pair that was peeled already needs no sketch of its other version
-        part = versions(again.withColumn("e", F.when(F.col("o1") < 0, F.col("e")))
+        part = versions(rows.join(left, DOC).withColumn("e", F.when(F.col("o1") < 0, F.col("e")))
                         .withColumn("b", F.when(F.col("o2") < 0, F.col("b"))),
                         {0: "a", 1: "e", 2: "b"})
         found = by_row(peeled(subtracted(sketches(part, size)), size))
-        done = cut_lineage(left.select(*DOC, F.col("d1").alias("o1"), F.col("d2").alias("o2"))
-                           .join(found, DOC, "left").select(*DOC, *[
-                               F.when(F.col(f"o{p}") < 0, F.coalesce(f"d{p}", F.lit(0)))
-                               .otherwise(F.col(f"o{p}")).alias(f"d{p}") for p in (1, 2)]))
+        done = cut_lineage(left.join(found, DOC, "left").select(*DOC, *[
+            F.when(F.col(f"o{p}") < 0, F.coalesce(f"d{p}", F.lit(0)))
+            .otherwise(F.col(f"o{p}")).alias(f"d{p}") for p in (1, 2)]))
         out = out.unionByName(done.filter("d1 >= 0 AND d2 >= 0"))
-    out = out.unionByName(done.filter("d1 < 0 OR d2 < 0"))
-    return out.join(written, DOC)
+    return written.join(out.unionByName(done.filter("d1 < 0 OR d2 < 0")), DOC)
 
 
 def likeness(left: Column, right: Column, apart: Column) -> Column:
@@ -154,8 +152,8 @@ def likeness(left: Column, right: Column, apart: Column) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              ranges: int = 256) -> DataFrame:
-    """``range, doc_id, text, next``: every text with that of the next document, ids descending.
+              ranges: int = 512) -> DataFrame:
+    """``doc_id, text, next``: every text with that of the next document, ids descending.
 
     Ids are cut into ranges whose upper ends are ids themselves; a copy of each end's rows goes
     to the range above, where it follows the smallest id. Texts are shuffled once.
@@ -177,7 +175,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.select("doc_id", "text", "o", "c.range", "c.copy")
     down = Window.partitionBy("range").orderBy("copy", F.desc("o"), F.xxhash64("text"))
     return (dealt.withColumn("next", F.lead("text").over(down)).filter(~F.col("copy"))
-            .select("range", "doc_id", "text", "next"))
+            .select("doc_id", "text", "next"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,19 +189,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     edited = F.concat(F.substring("text", F.lit(1), n - half),
                       F.substring("next", F.lit(1), half))
     rows = with_next(docs, id_col, text_col).select(
-        "range", F.monotonically_increasing_id().alias("r"), "doc_id",
+        F.monotonically_increasing_id().alias("r"), "doc_id",
         n.cast("long").alias("n_chars"), edited.alias("edited"),
         digests(F.col("text")).alias("a"), digests(F.col("next")).alias("b"))
-    rows = cut_lineage(rows.select(*DOC, "doc_id", "n_chars",
-                                   F.sha2("edited", 256).alias("edited_sha256"), "a", "b",
-                                   digests(F.col("edited")).alias("e")))
+    rows = bucketed(rows.select(*DOC, "doc_id", "n_chars",
+                                F.sha2("edited", 256).alias("edited_sha256"), "a", "b",
+                                digests(F.col("edited")).alias("e")), "r")
     found = rows.join(differences(rows), DOC)
-    plain = [F.size(F.array_except("a", c)) + F.size(F.array_except(c, "a")) for c in "eb"]
-    apart = [F.when(F.col(f"d{p}") < 0, x).otherwise(F.col(f"d{p}")).cast("int").alias(f"apart{p}")
-             for p, x in zip((1, 2), plain)]
+
+    def plain(c: str) -> Column:
+        return F.size(F.array_except("a", c)) + F.size(F.array_except(c, "a"))
+    apart = [F.when(F.col(f"d{p}") < 0, plain(c)).otherwise(F.col(f"d{p}")).alias(f"apart{p}")
+             for p, c in ((1, "e"), (2, "b"))]
     return found.select("*", *apart).select(
-        "doc_id", "n_chars", "edited_sha256", F.col("fp0").alias("fingerprint"),
-        F.col("fp1").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp0")).alias("fingerprint"),
+        F.lower(F.hex("fp1")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e"), F.col("apart1")).alias("near_edited"),
         likeness(F.col("a"), F.col("b"), F.col("apart2")).alias("near_next"),
         F.size("a").alias("n_paragraphs"))

@@ -32,6 +32,7 @@ SPAN, DECAY = 5, 0.6      # a subsequence spans at most SPAN + 1 characters
 WINDOW = 24               # longer terms are cut into windows of so many characters
 REMEMBER = 400_000        # terms whose margin a task remembers
 CODES = 32 ** 3
+STRONG = 20.0             # log-likelihood from which a term is toxic on its own evidence
 
 
 def letter_classes() -> np.ndarray:
@@ -177,10 +178,10 @@ def machine(toxic: dict[str, float], clean: dict[str, float], landmarks: int, se
     y = np.array([1.0] * (len(bad) + len(extra)) + [-1.0] * len(good))
     weight = np.array([toxic[w] for w in bad] + [1.0] * len(extra) + [clean[w] for w in good])
     weight = np.sqrt(weight)
-    for side in (y > 0, y < 0):
-        weight[side] *= 1.0 / max(weight[side].mean(), 1e-12)
+    for side in (y > 0, y < 0):              # both kinds weigh alike
+        weight[side] *= len(y) / 2 / max(weight[side].sum(), 1e-12)
     # landmarks: toxic terms far from each other, and clean ones at random
-    pool = sorted(bad, key=lambda w: (-toxic[w], w))[:1500]
+    pool = sorted(bad, key=lambda w: (-toxic[w], w))[:400]
     spread = kernel(pool, dense(pool)) if pool else np.zeros((0, 0))
     chosen, near = [], np.zeros(len(pool))
     while len(chosen) < min(landmarks * 2 // 3, len(pool)):
@@ -208,11 +209,11 @@ def machine(toxic: dict[str, float], clean: dict[str, float], landmarks: int, se
     return Model(phi @ (half @ w[:-1]), float(w[-1]))
 
 
-def calibrate(model: Model, margin: np.ndarray, y: np.ndarray) -> None:
-    """Logistic scale from margins to scores, with softened labels."""
+def calibrate(model: Model, margin: np.ndarray, y: np.ndarray, toxic_share: float) -> None:
+    """Logistic scale from margins to scores, with softened labels, at the given share."""
     n1, n0 = y.sum(), len(y) - y.sum()
     goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0) * len(y)
+    weight = np.where(y > 0, toxic_share / n1, (1 - toxic_share) / n0) * len(y)
     x, w = np.column_stack([margin, np.ones(len(margin))]), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
@@ -231,7 +232,7 @@ def fold(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_clean: int = 8000, sample_toxic: int = 4000,
-          landmarks: int = 96, rounds: int = 2, id_col: str = "doc_id",
+          landmarks: int = 160, rounds: int = 2, id_col: str = "doc_id",
           text_col: str = "text") -> Model:
     """Fit on a sample of labelled documents outside the held-out fold."""
     known = (labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
@@ -250,37 +251,51 @@ def train(docs: DataFrame, labels: DataFrame, sample_clean: int = 8000, sample_t
         model = Model(np.zeros(CODES), 0.0)
         model.slope, model.shift = 1e-6, (50.0 if size.get(1) else -50.0)
         return model
-    words = F.array_distinct(F.split(F.lower("text"), SPACE + "+"))
-    seen = sample.select("doc_id", "y", F.explode(words).alias("word")).filter(
-        F.length("word").between(3, WINDOW))
-    counts = seen.groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    words = F.filter(F.split(F.lower("text"), SPACE + "+"), lambda w: w != "")
+    pairs = F.arrays_zip(F.col("words").alias("word"), F.concat(
+        F.array(F.lit("")), F.col("words")).alias("before"))
+    seen = (sample.select("doc_id", "y", words.alias("words"))
+            .select("doc_id", "y", F.explode(pairs).alias("p"))
+            .select("doc_id", "y", F.col("p.word").alias("word"), F.col("p.before").alias("before"))
+            .filter(F.length("word").between(3, WINDOW)))
+    # evidence counts different neighbours: a copied document is no new evidence
+    counts = (seen.groupBy("word", "before").agg(F.max("y").alias("p"), F.min("y").alias("n"))
+              .groupBy("word").agg(F.sum("p").alias("p"), F.sum(1 - F.col("n")).alias("n")))
     odds = F.col("p") * F.log(F.col("p") / size[1] / ((F.col("n") + 0.5) / size[0]))
-    counts = spool(counts.withColumn("odds", odds))
-    # a toxic document's first witness: the word most often and most purely found in such ones
-    witness = (seen.filter("y = 1").join(counts, "word").groupBy("doc_id")
-               .agg(F.max_by("word", F.struct("odds", "word")).alias("word"))
-               .groupBy("word").count())
-    toxic = {r["word"]: float(r["count"]) for r in witness.collect()}
+    counts = spool(counts.withColumn("odds", F.when(F.col("p") > 0, odds).otherwise(-1.0)))
+    # the first witnesses: each strong term, and for other toxic documents their best one
+    strong = counts.filter(F.col("odds") >= STRONG)
+    witness = (seen.filter("y = 1").join(counts.filter("odds > 0"), "word").groupBy("doc_id")
+               .agg(F.max_by("word", F.struct("odds", "word")).alias("word"),
+                    F.max("odds").alias("odds")))
+    rest = witness.filter(F.col("odds").between(STRONG / 3, STRONG)).groupBy("word").count()
+    toxic = {r["word"]: float(r["count"]) for r in rest.collect()}
+    toxic |= {r["word"]: float(r["p"]) for r in
+              strong.orderBy(F.desc("odds"), "word").limit(2000).collect()}
     plain = counts.filter("n > 0")
     clean = {r["word"]: float(r["n"]) for part in (
         plain.orderBy(F.desc("n"), "word").limit(4000),
         plain.orderBy(F.xxhash64("word"), "word").limit(20000)) for r in part.collect()}
-    fold_clean: set[str] = set()
+    known_bad = dict(toxic)
     for step in range(rounds + 1):
-        model = machine(toxic, clean, landmarks, step)
+        model = machine(toxic or {"": 1.0}, clean, landmarks, step)
         found = worst_terms(sample, model).collect()
         if step == rounds:
             break
-        hard = {r["term"] for r in found if r["y"] == 0 and r["margin"] > -0.5 and r["term"]}
-        fold_clean |= hard
-        toxic = {}
+        worst: dict[int, dict] = {0: {}, 1: {}}
         for r in found:
-            if r["y"] == 1 and r["term"] and r["term"] not in fold_clean:
-                toxic[r["term"]] = toxic.get(r["term"], 0.0) + 1.0
+            if r["term"]:
+                mine = worst[r["y"]]
+                mine[r["term"]] = max(mine.get(r["term"], r["margin"]), r["margin"])
+        # what clean documents hold is clean, however alike it is to a toxic term
+        hard = {w for w, m in worst[0].items() if m > -0.5}
         clean |= {w: max(clean.get(w, 0.0), 5.0) for w in hard}
-        if not toxic:
-            break
-    calibrate(model, np.array([r["margin"] for r in found]), np.array([r["y"] for r in found]))
+        toxic = {w: n for w, n in known_bad.items() if w not in hard or n > STRONG}
+        toxic |= {w: toxic.get(w, 1.0) for w, m in worst[1].items() if m > 0 and w not in hard}
+        clean = {w: n for w, n in clean.items() if w not in toxic}
+    calibrate(model, np.array([r["margin"] for r in found]), np.array([r["y"] for r in found]),
+              share[1] / (share[0] + share[1]))
     return model
 
 
