@@ -46,10 +46,13 @@ def letter_classes() -> np.ndarray:
 
 
 CLASSES = letter_classes()
+EDGE = "\x02"             # stands before each term, so that its beginning counts as such
+CLASSES[ord(EDGE)] = 31
 
 
 def subsequences(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``term, code, weight``: each term's distinct subsequences of three letters, summed."""
+    terms = [EDGE + t for t in terms]
     lengths = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
     points = np.frombuffer("".join(terms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     letters = np.where(points < len(CLASSES), CLASSES[np.minimum(points, len(CLASSES) - 1)], 27)
@@ -260,39 +263,33 @@ def train(docs: DataFrame, labels: DataFrame, sample_clean: int = 8000, sample_t
             .select("doc_id", "y", F.col("p.word").alias("word"), F.col("p.before").alias("before"))
             .filter(F.length("word").between(3, WINDOW)))
     # evidence counts different neighbours: a copied document is no new evidence
-    counts = (seen.groupBy("word", "before").agg(F.max("y").alias("p"), F.min("y").alias("n"))
-              .groupBy("word").agg(F.sum("p").alias("p"), F.sum(1 - F.col("n")).alias("n")))
-    odds = F.col("p") * F.log(F.col("p") / size[1] / ((F.col("n") + 0.5) / size[0]))
-    counts = spool(counts.withColumn("odds", F.when(F.col("p") > 0, odds).otherwise(-1.0)))
-    # the first witnesses: each strong term, and for other toxic documents their best one
+    varied = seen.filter("y = 1").groupBy("word", "before").count().groupBy("word").agg(
+        F.count("*").alias("contexts"))
+    docs_with = seen.groupBy("word", "doc_id").agg(F.max("y").alias("y")).groupBy("word").agg(
+        F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    odds = F.least("p", "contexts") * F.log(F.col("p") / size[1] / ((F.col("n") + 0.5) / size[0]))
+    counts = spool(docs_with.join(varied, "word", "left").withColumn(
+        "odds", F.when(F.col("p") > 0, odds).otherwise(-1.0)))
+    # the witnesses: every strong term; with too little evidence, each toxic document's best one
     strong = counts.filter(F.col("odds") >= STRONG)
     witness = (seen.filter("y = 1").join(counts.filter("odds > 0"), "word").groupBy("doc_id")
-               .agg(F.max_by("word", F.struct("odds", "word")).alias("word"),
-                    F.max("odds").alias("odds")))
-    rest = witness.filter(F.col("odds").between(STRONG / 3, STRONG)).groupBy("word").count()
-    toxic = {r["word"]: float(r["count"]) for r in rest.collect()}
-    toxic |= {r["word"]: float(r["p"]) for r in
-              strong.orderBy(F.desc("odds"), "word").limit(2000).collect()}
+               .agg(F.max_by("word", F.struct("odds", "word")).alias("word")))
+    toxic = {r["word"]: float(r["p"]) for r in
+             strong.orderBy(F.desc("odds"), "word").limit(2000).collect()}
+    if not toxic:
+        toxic = {r["word"]: float(r["count"]) for r in witness.groupBy("word").count().collect()}
     plain = counts.filter("n > 0")
     clean = {r["word"]: float(r["n"]) for part in (
         plain.orderBy(F.desc("n"), "word").limit(4000),
         plain.orderBy(F.xxhash64("word"), "word").limit(20000)) for r in part.collect()}
-    known_bad = dict(toxic)
     for step in range(rounds + 1):
         model = machine(toxic or {"": 1.0}, clean, landmarks, step)
         found = worst_terms(sample, model).collect()
         if step == rounds:
             break
-        worst: dict[int, dict] = {0: {}, 1: {}}
-        for r in found:
-            if r["term"]:
-                mine = worst[r["y"]]
-                mine[r["term"]] = max(mine.get(r["term"], r["margin"]), r["margin"])
         # what clean documents hold is clean, however alike it is to a toxic term
-        hard = {w for w, m in worst[0].items() if m > -0.5}
+        hard = {r["term"] for r in found if r["y"] == 0 and r["margin"] > -0.5 and r["term"]}
         clean |= {w: max(clean.get(w, 0.0), 5.0) for w in hard}
-        toxic = {w: n for w, n in known_bad.items() if w not in hard or n > STRONG}
-        toxic |= {w: toxic.get(w, 1.0) for w, m in worst[1].items() if m > 0 and w not in hard}
         clean = {w: n for w, n in clean.items() if w not in toxic}
     calibrate(model, np.array([r["margin"] for r in found]), np.array([r["y"] for r in found]),
               share[1] / (share[0] + share[1]))
