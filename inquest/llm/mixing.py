@@ -90,14 +90,19 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         bits = fine
 
 
+def place(id_col: str, text_col: str) -> Column:
+    """A document's hash, below which thresholds cut."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), present(F.col(text_col))),
+                                64 - HASH_BITS)
+
+
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, u, source, size, source_size, target, copies`` for every document."""
     skey = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("~"))
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), present(F.col(text_col))), 64 - HASH_BITS)
     sized = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                               skey.alias("skey"), n_words(F.col(text_col)).alias("size"),
-                              u.alias("u")))
+                              place(id_col, text_col).alias("u")))
     sources = cut_lineage(sized.groupBy("skey").agg(F.sum("size").alias("source_size")))
     targets = source_targets(sources, weights, share, most)
     base = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -115,3 +116,8 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
                        .alias("n_lines"), F.size("__gone").alias("n_removed"),
                        F.array_join("__gone", ",").alias("removed_lines"),
                        F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
