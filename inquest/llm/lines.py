@@ -92,29 +92,23 @@ def deletions(lines: DataFrame, min_words: int = 8) -> DataFrame:
     ahead = F.first(F.when(long_, here), True).over(
         island.rowsBetween(0, Window.unboundedFollowing))
     near = run.select(*AT, "words", "name", back.alias("back"), ahead.alias("ahead"))
-    short = near.filter(~long_ & later("name"))
-    spans = short.select("o", "h", F.explode(F.array(
+    # copies of such a run have the same lines, so they give the same kind of span
+    spans = near.filter(~long_).select("o", "h", here.alias("short"), F.explode(F.array(
         F.struct(F.col("back").alias("start"), here.alias("stop")),
-        F.struct(here.alias("start"), F.col("ahead").alias("stop")))).alias("s"),
-        here.alias("short")).filter("s.start IS NOT NULL AND s.stop IS NOT NULL")
+        F.struct(here.alias("start"), F.col("ahead").alias("stop")))).alias("s"))
     size = F.col("s.stop") - F.col("s.start") + 1
-    k = F.floor(F.log2(size)).cast("int")
-    spans = cut_lineage(spans.select("o", "h", "short", F.col("s.start").alias("line"),
-                                     size.alias("size"), k.alias("k")).distinct())
-    if not spans.isEmpty():
-        # every position of the same two overlapping names and length is a copy of the run
-        sizes = [r["size"] for r in spans.select("size").distinct().collect()]
-        for n in sizes:
-            depth = n.bit_length() - 1
-            if depth >= len(levels):
-                continue
-            head = levels[depth]
-            shift = n - (1 << depth)
-            tail = head.select("o", "h", (F.col("line") - shift).alias("line"),
-                               F.col("name").alias("next"))
-            both = repeated(head.join(tail, AT), "name", "next").filter(later())
-            out.append(spans.filter(F.col("size") == n).join(both.select(*AT), AT)
-                       .select("o", "h", F.col("short").alias("line")))
+    spans = spans.filter("s.start IS NOT NULL AND s.stop IS NOT NULL").select(
+        "o", "h", "short", F.col("s.start").alias("line"), size.alias("size"),
+        F.floor(F.log2(size)).cast("int").alias("k"))
+    # two overlapping runs of 2^k lines name a run of any length between
+    every = reduce(DataFrame.unionByName, [
+        x.withColumn("k", F.lit(k)) for k, x in enumerate(levels)])
+    tail = every.select("o", "h", F.col("line").alias("end"), "k", F.col("name").alias("next"))
+    end = F.expr("line + size - shiftleft(1, k)")
+    named = (spans.join(every, [*AT, "k"]).withColumn("end", end)
+             .join(tail, ["o", "h", "end", "k"]))
+    out.append(repeated(named, "size", "k", "name", "next").filter(later())
+               .select("o", "h", F.col("short").alias("line")))
     return reduce(DataFrame.unionByName, out).distinct()
 
 
