@@ -162,7 +162,7 @@ def test_personal_data(spark):
              "+1 (988) 555-2485 +12", "9" * 6000, "a" * 20000 + "@x", "4111111111111111",
              "0001.2.3.4 000000000000000000001.2.3.4"]
     texts += ["".join(draw.choice("ab.@-+ 0123456789()%é\n") for _ in range(120)) for _ in range(150)]
-    texts += [f"{w} met Zygmunt at zyg@corp.org.\nothers {w}" for w in ("One", "Two", "Three", "Four")]
+    texts += [f"{w} met Zygmunt at zyg@corp.org.\nothers {w} met" for w in ("One", "Two", "Three", "Four")]
     texts += ["One plain line", "Two plain lines with zygmunt"]
     df = docs(spark, texts)
     found = pii.spans(df.repartition(3))
@@ -176,7 +176,7 @@ def test_personal_data(spark):
     assert "term:8:15" in got[first].spans            # the name, not the other words
     assert got[len(texts) - 2].spans == "" and got[len(texts) - 1].spans == "term:21:28"
     clean = {r.doc_id: r.text for r in pii.sanitised(found).collect()}
-    assert clean[first] == "One met [term] at [email].\nothers One"
+    assert clean[first] == "One met [term] at [email].\nothers One met"
     assert clean[1] == "" and clean[len(texts) - 2] == "One plain line"
     assert pii.spans(empty(spark)).count() == 0
 
