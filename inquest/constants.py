@@ -33,7 +33,6 @@ REQUEST_TYPES = ("missing_field", "missing_dataset", "missing_document", "defini
 VERSION_TYPES = ("raw", "cleaned", "enriched", "scoped")
 
 # Limits.
-MAX_SQL_ROWS = 100_000
 RETURNED_SQL_ROWS = 500
 MIN_SERIES_LENGTH = 12
 MIN_SERIES_FOR_SEASONAL = 24
@@ -61,7 +60,7 @@ SKIP_LINKS = (r"(?i)\.(css|js|png|jpe?g|gif|svg|ico|woff2?|ttf|mp4|zip|gz)(\?|$)
               r"|/(tag|tags|category|categories|search|login|signin|signup|cart|feed)(/|\?|$)")
 
 # Redaction.
-REDACTED, MIN_SECRET_CHARS, MAX_SECRET_VALUES = "[REDACTED]", 3, 5000
+REDACTED, MIN_SECRET_CHARS = "[REDACTED]", 3
 
 # What Python counts as white space, for strip and split.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

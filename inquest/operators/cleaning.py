@@ -89,10 +89,11 @@ def propose_plan(df: DataFrame) -> Plan:
     return Plan(sorted(operations, key=lambda o: OPERATIONS.index(o.operation)))
 
 
-def _apply(df: DataFrame, op: Operation, flag: str) -> DataFrame:
-    """One operation as a transform. ``flag`` marks the rows it touches, counted later."""
+def _apply(df: DataFrame, op: Operation, prefix: str, i: int) -> DataFrame:
+    """One operation as a transform. A flag marks the rows it touches, counted later."""
+    flag = f"{prefix}{i}"
     if op.operation == "drop_exact_duplicates":
-        return df.dropDuplicates([c for c in df.columns if not c.startswith("touched_")])
+        return df.dropDuplicates([c for c in df.columns if not c.startswith(prefix)])
     c = F.col(f"`{op.column}`")
     dtype = df.schema[op.column].dataType
     if op.operation == "drop_constant_columns":
@@ -128,7 +129,9 @@ def apply_plan(df: DataFrame, plan: Plan, approved: list[str] = ()) -> tuple[Dat
     not changed. Row counts come from one aggregate at the end.
     """
     log = [Operation(o.operation, o.column, o.reason, o.estimated) for o in plan.operations]
-    out, dropped = df, None
+    out, dropped, prefix = df, None, "touched_"
+    while any(c.startswith(prefix) for c in df.columns):     # a user's column may be named so
+        prefix = f"_{prefix}"
     for i, op in enumerate(log):
         if not op.safe and op.op_id not in set(approved):
             op.skipped = "not approved"
@@ -139,16 +142,16 @@ def apply_plan(df: DataFrame, plan: Plan, approved: list[str] = ()) -> tuple[Dat
         try:
             if op.operation == "drop_exact_duplicates":
                 dropped = (op, out)
-            out = _apply(out, op, f"touched_{i}")
+            out = _apply(out, op, prefix, i)
             op.executed = True
         except (PySparkException, ValueError) as error:
             op.skipped = f"error: {error}"
-    flags = [c for c in out.columns if c.startswith("touched_")]
+    flags = [c for c in out.columns if c.startswith(prefix)]
     row = out.agg(F.count(F.lit(1)).alias("rows"),
                   *[F.count_if(F.col(c)).alias(c) for c in flags]).first()
     for i, op in enumerate(log):
-        if op.executed and f"touched_{i}" in flags:
-            op.affected = row[f"touched_{i}"]
+        if op.executed and f"{prefix}{i}" in flags:
+            op.affected = row[f"{prefix}{i}"]
     if dropped and dropped[0].executed:
         dropped[0].affected = dropped[1].count() - row["rows"]
     return out.drop(*flags), Plan(log)

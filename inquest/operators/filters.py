@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from inquest.constants import (AGGREGATES, MAX_SQL_ROWS, OPERATIONS, SCOPE_DATE_HINTS,
+from inquest.constants import (AGGREGATES, OPERATIONS, SCOPE_DATE_HINTS,
                                SQL_BANNED)
 from inquest.functions.dates import parsed_column
 from inquest.functions.tables import is_time
@@ -27,9 +27,8 @@ def scope_column(df: DataFrame) -> str | None:
     return None
 
 
-def period_scope(df: DataFrame, start: str | None = None, end: str | None = None,
-                 least: int = 10) -> DataFrame:
-    """Rows dated within the window; the input itself when almost nothing would remain."""
+def period_scope(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows dated within the window, however few they are."""
     name = scope_column(df)
     if name is None or not (start or end):
         return df
@@ -39,8 +38,7 @@ def period_scope(df: DataFrame, start: str | None = None, end: str | None = None
         keep = keep & (ts >= F.lit(start).cast("timestamp"))
     if end:
         keep = keep & (ts <= F.lit(end).cast("timestamp"))
-    scoped = df.where(keep)
-    return scoped if scoped.limit(least).count() >= least else df
+    return df.where(keep)
 
 
 def split_sides(df: DataFrame, date: str, cutoff: str | dt.datetime) -> DataFrame:
@@ -72,14 +70,15 @@ def guard_sql(query: str, banned: tuple = SQL_BANNED, starts: tuple = ("select",
     return text
 
 
-def readonly_sql(df: DataFrame, query: str, limit: int = MAX_SQL_ROWS) -> DataFrame:
-    """A guarded SELECT over the table, which it sees as the view ``data``."""
+def readonly_sql(df: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """A guarded SELECT over the table, which it sees as the view ``data``; whole by default."""
     text = guard_sql(query)
     session = df.sparkSession
     view = f"data_{abs(id(df))}"
     df.createOrReplaceTempView(view)
     try:
-        return session.sql(f"WITH data AS (SELECT * FROM {view}) SELECT * FROM ({text})").limit(limit)
+        found = session.sql(f"WITH data AS (SELECT * FROM {view}) SELECT * FROM ({text})")
+        return found if limit is None else found.limit(limit)
     finally:
         session.catalog.dropTempView(view)
 

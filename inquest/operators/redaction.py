@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from inquest.constants import MAX_SECRET_VALUES, MIN_SECRET_CHARS, REDACTED
+from inquest.constants import MIN_SECRET_CHARS, REDACTED
 from inquest.functions.strings import strip
 
 
-def sensitive_values(df: DataFrame, columns: list[str],
-                     per_column: int = MAX_SECRET_VALUES) -> DataFrame:
-    """``column`` and ``value``: the distinct values to withhold, none shorter than three.
-
-    The list travels to every task as one pattern, so it is limited per column by design.
-    """
+def sensitive_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column`` and ``value``: all distinct values to withhold, none shorter than three."""
     found = df.sparkSession.createDataFrame([], "`column` string, value string")
     for c in [c for c in columns if c in df.columns]:
         values = (df.select(F.lit(c).alias("column"), strip(F.col(f"`{c}`").cast("string")).alias("value"))
                   .where(F.length("value") >= MIN_SECRET_CHARS).distinct())
-        # a top-k per column keeps the limit inside each task, which a window would not
-        found = found.unionByName(values.orderBy("value").limit(per_column))
+        found = found.unionByName(values)
     return found
 
 
@@ -60,7 +55,7 @@ def pattern_of(values: list[str]) -> str:
 
 
 def scrub(text: Column, values: list[str]) -> Column:
-    """The text with every listed value replaced, whatever its case."""
+    """The text with each of a few listed values replaced, whatever its case."""
     usable = sorted({v for v in values if len(v) >= MIN_SECRET_CHARS})
     if not usable:
         return text
@@ -68,9 +63,44 @@ def scrub(text: Column, values: list[str]) -> Column:
 
 
 def scrub_column(df: DataFrame, text: str, secrets: DataFrame) -> DataFrame:
-    """``df`` with its text column scrubbed of the collected values."""
-    values = [r["value"] for r in secrets.select("value").distinct().collect()]
-    return df.withColumn(text, scrub(F.col(text), values))
+    """``df`` with every listed value in its text column replaced, whatever its case.
+
+    No list of values is collected: each text is cut at the lengths that values have, the
+    pieces are joined with the table of values by a hash, and of overlapping finds the first
+    and then the longest is replaced. One row per find is all that leaves a task.
+    """
+    values = (secrets.select(F.lower("value").alias("secret"))
+              .where(F.length("secret") >= MIN_SECRET_CHARS).distinct())
+    # a value is looked up by its first characters, so only places that begin one are cut out
+    starts = values.select(F.substring("secret", 1, MIN_SECRET_CHARS).alias("head"),
+                           F.length("secret").alias("size")).distinct()
+    longest = starts.agg(F.max("size")).first()[0]
+    if longest is None:
+        return df
+    low, key = F.lower(F.col(f"`{text}`")), ["__h1", "__h2"]
+    keyed = df.withColumns({"__h1": F.xxhash64(low), "__h2": F.xxhash64(F.lit(1), low)})
+    begin = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (MIN_SECRET_CHARS - 1)))
+    places = keyed.select(*key, F.explode(F.transform(begin, lambda at: F.struct(
+        at.alias("at"), F.substring(low, at, F.lit(longest)).alias("piece")))).alias("p"))
+    heads = places.select(*key, "p.at", "p.piece", F.substring(
+        "p.piece", 1, MIN_SECRET_CHARS).alias("head"))
+    pieces = heads.join(starts, "head").select(*key, "at", "size", F.substring(
+        F.col("piece"), F.lit(1), F.col("size")).alias("secret"))
+    finds = (pieces.join(values, "secret").groupBy(*key, "at").agg(F.max("size").alias("size"))
+             .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("__finds")))
+    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
+    whole = F.col(f"`{text}`")
+
+    def step(state: Column, find: Column) -> Column:
+        put = F.concat(state["out"], F.substring(whole, state["at"], find["at"] - state["at"]),
+                       F.lit(REDACTED))
+        return F.when(find["at"] >= state["at"], F.struct(
+            (find["at"] + find["size"]).alias("at"), put.alias("out"))).otherwise(state)
+    done = F.aggregate("__finds", start, step, lambda s: F.concat(
+        s["out"], F.substring(whole, s["at"], F.length(whole))))
+    out = keyed.join(finds, key, "left").withColumn(text, F.when(
+        F.col("__finds").isNotNull(), done).otherwise(whole))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def withhold_samples(columns: DataFrame, sensitive: list[str]) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from inquest.operators import drivers, joining, retrieval, summaries
 from inquest.plans.tools import (Workspace, call_tool, generate_recommendations, index_report,
@@ -212,13 +211,16 @@ def _test_trend(ws: Workspace, inv: str, dataset: dict, plan: dict, h: dict) ->
     result, run = call_tool(ws, "run_dataframe_code", dataset | {
         "operation": "time_series", "params": {"date_column": plan["date"], "metric": metric}},
         inv, "analysis")
-    points = [r["value"] for r in result.get("rows", []) if r["value"] is not None]
-    if run["status"] != "success" or len(points) < 3:
-        h |= {"status": "unresolved", "reasoning": result.get("error", "fewer than three periods")}
+    if run["status"] != "success":
+        h |= {"status": "unresolved", "reasoning": result["error"]}
+        return
+    # the recorded result is a page; the rule looks at the whole series
+    series = summaries.time_series(ws.table(**dataset), plan["date"], metric)
+    ends = drivers.trend_test(series).first()
+    if ends is None:
+        h |= {"status": "unresolved", "reasoning": "fewer than three periods"}
         return
-    change = points[-1] - points[0]
-    pct = change / points[0] * 100 if points[0] else 0.0
-    held = abs(pct) > 10
+    change, pct, held = ends["change"], ends["change_pct"], ends["supported"]
     h |= {"status": "supported" if held else "rejected", "confidence": 0.7 if held else 0.2,
           "reasoning": f"{metric} moved {pct:.1f}% from first to last period."}
     if held:
@@ -226,28 +228,13 @@ def _test_trend(ws: Workspace, inv: str, dataset: dict, plan: dict, h: dict) ->
             investigation_id=inv, hypothesis_id=h["id"], tool_run_id=run["id"],
             finding_type="measurement", magnitude=abs(change), unit=metric, confidence="high",
             statement=f"{metric} changed by {pct:.1f}% across the observed period.",
-            evidence_summary=f"Monthly series over {len(points)} periods: {points[0]:.2f} -> {points[-1]:.2f}.",
+            evidence_summary=f"Monthly series over {ends['points']} periods: "
+                             f"{ends['first']:.2f} -> {ends['last']:.2f}.",
             caveats="Says what changed, not why.")
 
 
 # --- the investigation -------------------------------------------------------
 
-SMALL_ROWS = 1_000_000
-
-
-@contextmanager
-def few_partitions(spark: SparkSession, rows: int):
-    """Two shuffle partitions while a small version is examined; a large one keeps its own."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    if rows < SMALL_ROWS:
-        spark.conf.set(key, str(min(2, int(before))))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def investigate(ws: Workspace, question: str, dataset_id: str, start: str | None = None,
                 end: str | None = None, version_id: str | None = None, owner: str | None = None,
                 horizon: int = 3, stages: tuple = STAGES, investigation_id: str | None = None,
@@ -256,7 +243,7 @@ def investigate(ws: Workspace, question: str, dataset_id: str, start: str | None
     version = ws.versions.scoped(dataset_id, start, end, version_id)
     ws.hold(version)
     try:
-        with ws.records.batch(), few_partitions(ws.spark, version["row_count"]):
+        with ws.records.batch():
             return _run(ws, question, dataset_id, version, owner, horizon, stages, investigation_id,
                         now or dt.datetime.now().replace(microsecond=0).isoformat())
     finally:

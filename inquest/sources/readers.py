@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from inquest.constants import (CONTENT_MARKERS, DOCUMENT_SUFFIXES, JDBC_BANNED, MAX_SQL_ROWS,
+from inquest.constants import (CONTENT_MARKERS, DOCUMENT_SUFFIXES, JDBC_BANNED,
                                TABULAR_SUFFIXES)
 from inquest.functions.tables import nan_to_null
 from inquest.operators.filters import guard_sql
@@ -54,12 +54,13 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     raise ValueError(f"Not a supported table format: {path}")
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, limit: int = MAX_SQL_ROWS,
+def read_jdbc(spark: SparkSession, url: str, query: str, limit: int | None = None,
               **options) -> DataFrame:
-    """One guarded SELECT, limited inside the database."""
+    """One guarded SELECT; a limit, if given, holds inside the database."""
     text = guard_sql(query, JDBC_BANNED, ("select",))
     return (spark.read.format("jdbc").options(**options).option("url", url)
-            .option("query", f"SELECT * FROM ({text}) AS sub LIMIT {int(limit)}").load())
+            .option("query", f"SELECT * FROM ({text}) AS sub"
+                    + ("" if limit is None else f" LIMIT {int(limit)}")).load())
 
 
 def jdbc_origin(url: str) -> str:
