@@ -84,8 +84,10 @@ def grams(words: Column, n: int) -> Column:
         F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def features(words: Column) -> Column:
-    return F.array_distinct(F.concat(words, grams(words, 2)))
+def features(words: Column, common: list[str]) -> Column:
+    """One- and two-grams of the words that are not common in ordinary text."""
+    rare = F.filter(words, lambda w: ~w.isin(common)) if common else words
+    return F.array_distinct(F.concat(rare, grams(rare, 2)))
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -108,11 +110,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Model:
-    """Weights by n-gram and class, and the probability that a named family needs."""
+    """Weights by n-gram and class, and the probabilities that a notice and a family need."""
 
     def __init__(self, weights: dict[str, list[float]], offset: list[float], classes: list[str],
-                 sure: float = 0.0):
-        self.weights, self.offset, self.classes, self.sure = weights, offset, classes, sure
+                 common: list[str]):
+        self.weights, self.offset, self.classes, self.common = weights, offset, classes, common
+        self.sure, self.notice = 0.5, 0.5
 
 
 def train(docs: DataFrame, sample_lines: int = 3000, id_col: str = "doc_id",
@@ -131,8 +134,15 @@ def train(docs: DataFrame, sample_lines: int = 3000, id_col: str = "doc_id",
     label = reduce(lambda c, p: c.when(F.col("family") == p[1], F.lit(float(p[0]))),
                    enumerate(names), F)
     # a bounded sample: one partition, for each step of the fit is a job
+    plain = spool(plain)
+    often = max(2, plain.count() // 200)
+    # at most the words of the sample; those in 0.5 % of its lines say nothing about licences
+    common = sorted(r["word"] for r in plain.select(F.explode(F.array_distinct(words(
+        F.col("text")))).alias("word")).groupBy("word").count().filter(
+            F.col("count") > often).collect())
     rows = spool(notices(spark).unionByName(plain).select(
-        "family", "part", label.alias("label"), features(words(F.col("text"))).alias("grams"))
+        "family", "part", label.alias("label"),
+        features(words(F.col("text")), common).alias("grams"))
         .coalesce(1))
     counter = CountVectorizer(inputCol="grams", outputCol="x", binary=True, minDF=2.0).fit(rows)
     held = F.col("part") == 4
@@ -143,18 +153,23 @@ def train(docs: DataFrame, sample_lines: int = 3000, id_col: str = "doc_id",
     present_ = [names[i] for i in range(matrix.shape[0])]
     weights = {g: matrix[:, i].tolist() for i, g in enumerate(counter.vocabulary)
                if abs(matrix[:, i]).max() > 0}
-    model = Model(weights, fit.interceptVector.toArray().tolist(), present_)
-    # calibration: named families must be as sure as nearly all held-out notices of their own
-    scored = scored_grams(rows.filter(held & ~F.col("family").isin(NONE, UNKNOWN)).select(
+    model = Model(weights, fit.interceptVector.toArray().tolist(), present_, common)
+    # calibration: named families must be as sure as nearly all held-out notices of their own,
+    # and a notice more so than nearly any held-out ordinary line
+    scored = scored_grams(rows.filter(held).select(
         "family", F.monotonically_increasing_id().alias("id"), "grams"), model, ["family", "id"])
-    right = scored.filter(F.col("family") == F.col("best"))
-    model.sure = min(0.9, right.agg(F.percentile("probability", F.lit(0.05)).alias("p"))
-                     .first()["p"] or 0.5)
+    named = F.when((F.col("family") == F.col("best"))
+                   & ~F.col("family").isin(NONE, UNKNOWN), F.col("probability"))
+    plain_ = F.when(F.col("family") == NONE, F.col("notice"))
+    cut = scored.agg(F.percentile(named, F.lit(0.05)).alias("sure"),
+                     F.percentile(plain_, F.lit(0.999)).alias("notice")).first()
+    model.sure = min(0.9, cut["sure"] or 0.5)
+    model.notice = min(0.95, max(0.5, cut["notice"] or 0.5))
     return model
 
 
 def scored_grams(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """``keys, best, probability`` of rows with ``grams``, by summed weights."""
+    """``keys, best, probability, notice`` (not ordinary text) of rows with ``grams``, by summed weights."""
     spark = rows.sparkSession
     table = spark.createDataFrame(list(model.weights.items()), "gram string, w array<double>")
     n = len(model.classes)
@@ -164,7 +179,9 @@ def scored_grams(rows: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     top = F.greatest(*score)
     total = reduce(lambda a, b: a + b, [F.exp(s - top) for s in score])
     best = reduce(lambda c, p: c.when(p[1] == top, F.lit(p[0])), zip(model.classes, score), F)
-    return sums.select(*keys, best.alias("best"), (1 / total).alias("probability"))
+    none = F.exp(score[model.classes.index(NONE)] - top) / total
+    return sums.select(*keys, best.alias("best"), (1 / total).alias("probability"),
+                       (1 - none).alias("notice"))
 
 
 def scan(docs: DataFrame, model: Model, agree: float = 0.5, id_col: str = "doc_id",
@@ -175,10 +192,10 @@ def scan(docs: DataFrame, model: Model, agree: float = 0.5, id_col: str = "doc_i
     lines = lines.withColumn("words", words(F.col("text")))
     lines = lines.filter(F.arrays_overlap("words", F.array(*[F.lit(w) for w in used])))
     keys = ["doc_id", "h", "line", "text"]
-    rows = lines.select(*keys, features(F.col("words")).alias("grams")).dropDuplicates(
+    rows = lines.select(*keys, features(F.col("words"), model.common).alias("grams")).dropDuplicates(
         ["doc_id", "h", "line"])
-    found = scored_grams(rows, model, keys).filter(F.col("best") != NONE)
-    found = found.withColumn("mine", grams(words(F.col("text")), 3))
+    found = scored_grams(rows, model, keys).filter(F.col("notice") > model.notice)
+    found = found.filter(F.col("best") != NONE).withColumn("mine", grams(words(F.col("text")), 3))
     mine = F.col("mine")
 
     def near(family: str) -> Column:
