@@ -33,6 +33,7 @@ WINDOW = 24               # longer terms are cut into windows of so many charact
 REMEMBER = 400_000        # terms whose margin a task remembers
 CODES = 32 ** 3
 STRONG = 20.0             # log-likelihood from which a term is toxic on its own evidence
+LEAST_RATIO = 5.0         # times as frequent in toxic documents, at least
 
 
 def letter_classes() -> np.ndarray:
@@ -267,9 +268,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_clean: int = 8000, sample_t
         F.count("*").alias("contexts"))
     docs_with = seen.groupBy("word", "doc_id").agg(F.max("y").alias("y")).groupBy("word").agg(
         F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    odds = F.least("p", "contexts") * F.log(F.col("p") / size[1] / ((F.col("n") + 0.5) / size[0]))
+    ratio = F.col("p") / size[1] / ((F.col("n") + 0.5) / size[0])
+    # a common word is a little more frequent here or there, however much evidence there is
     counts = spool(docs_with.join(varied, "word", "left").withColumn(
-        "odds", F.when(F.col("p") > 0, odds).otherwise(-1.0)))
+        "odds", F.when(ratio >= LEAST_RATIO, F.least("p", "contexts") * F.log(ratio))
+        .otherwise(-1.0)))
     # the witnesses: every strong term; with too little evidence, each toxic document's best one
     strong = counts.filter(F.col("odds") >= STRONG)
     witness = (seen.filter("y = 1").join(counts.filter("odds > 0"), "word").groupBy("doc_id")
