@@ -48,7 +48,6 @@ CHUNK_SIZE, CHUNK_OVERLAP = 900, 150
 EMBEDDING_DIM = 256
 EMBEDDING_SIGNATURE = "hashed-words-256"
 MIN_ANSWER_SCORE, MIN_DEFINITION_SCORE = 0.05, 0.35
-STORED_TEXT_CHARS = 1_000_000
 DOCUMENT_SUFFIXES = (".pdf", ".docx", ".pptx", ".txt", ".html", ".htm", ".md")
 TABULAR_SUFFIXES = (".csv", ".tsv", ".xlsx", ".xls", ".json", ".parquet")
 CONTENT_MARKERS = (("pdf", ".pdf"), ("wordprocessingml", ".docx"),

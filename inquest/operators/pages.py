@@ -113,8 +113,7 @@ def reachable_pages(pages: DataFrame, start_url: str, max_pages: int = MAX_SITE_
     """
     if not start_url.lower().startswith(("http://", "https://")):
         raise ValueError("The address must start with http:// or https://")
-    max_pages = max(1, min(max_pages, MAX_SITE_PAGES))
-    max_depth = max(0, min(max_depth, MAX_SITE_DEPTH))
+    max_pages, max_depth = max(1, max_pages), max(0, max_depth)
     spark = pages.sparkSession
     stored = pages.select(without_fragment(F.col(url)).alias("url"), F.col(html).alias("html"))
     first = start_url.split("#")[0].rstrip("/")
@@ -127,7 +126,7 @@ def reachable_pages(pages: DataFrame, start_url: str, max_pages: int = MAX_SITE_
                 .groupBy("url", "parent", "position").agg(F.min(F.struct("html", "text")).alias("p"))
                 .select("url", "parent", "position", "p.*"))
         level = cut_lineage(hits.orderBy("parent", "position", "url").limit(max_pages - count))
-        order = Window.orderBy("parent", "position", "url")  # at most 25 rows
+        order = Window.orderBy("parent", "position", "url")  # at most max_pages rows
         level = level.withColumn("visit", F.row_number().over(order) + count)
         part = level.select(
             "visit", F.lit(depth).alias("depth"), "url",

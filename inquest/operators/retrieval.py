@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inquest.constants import (CHUNK_OVERLAP, CHUNK_SIZE, EMBEDDING_DIM, EMBEDDING_SIGNATURE,
-                               MIN_ANSWER_SCORE, MIN_DEFINITION_SCORE, STORED_TEXT_CHARS)
+                               MIN_ANSWER_SCORE, MIN_DEFINITION_SCORE)
 from inquest.functions.strings import strip
 from inquest.functions.tables import spread
 from inquest.functions.vectors import cosine_to, text_vector, token_buckets, unit_vector
@@ -74,10 +74,9 @@ def index_documents(docs: DataFrame, document_id: str = "document_id") -> DataFr
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """The document rows kept beside the chunks: at most a million characters of text."""
+    """The document rows kept beside the chunks, with their whole text."""
     subject = F.nullif(F.substring(strip(F.col("subject")), 1, 120), F.lit(""))
-    return (docs.withColumn("text", F.substring("text", 1, STORED_TEXT_CHARS))
-            .withColumn("subject", subject).withColumn("status", F.lit("embedded")))
+    return (docs.withColumn("subject", subject).withColumn("status", F.lit("embedded")))
 
 
 def scope_of(subject: Column, url: Column, document_type: Column) -> Column:
