@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inquest.llm.common import cut_lineage, present, spool
+from inquest.llm.common import broadcast_within, cut_lineage, present, spool
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))   # A-Z only
 LEAF_ROWS = 20_000        # a shard with more rows is split, up to BLOCKS' depth
@@ -83,7 +83,7 @@ def signed(x: int) -> int:
 def offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
     """All differences of block distances within the radius, one of each opposite pair.
 
-    Of two fingerprints that overlap each other's boundary only one need visit the other.
+    Of two fingerprints at home that overlap each other's boundary only one need visit the other.
     """
     found = [()]
     for _ in range(blocks):
@@ -95,8 +95,9 @@ def offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
 def deal(rows: DataFrame, vantage: int, depth: int, radius: int) -> DataFrame:
     """``shard, fp, home``: every fingerprint in its own shard and in those it must visit.
 
-    A row that only visits is dealt on without a home. ``shard`` of the row before is kept as a
-    part of the key.
+    A row that only visits is dealt on without a home, and visits at both signs of the offsets:
+    the row at home that it must meet may lie at either. ``shard`` of the row before is kept as
+    a part of the key.
     """
     blocks = BLOCKS[depth]
     masks = block_masks(blocks, depth)
@@ -106,14 +107,19 @@ def deal(rows: DataFrame, vantage: int, depth: int, radius: int) -> DataFrame:
     # mixed radix; wraps beyond 64 bits only for 16 blocks, where it merely joins shards
     weights = [signed(pow(width, i, 1 << 64)) for i in range(blocks)]
     place = reduce(lambda a, b: a + b, [d * F.lit(w) for d, w in zip(apart, weights)])
-    shifts = [signed(sum(d * w for d, w in zip(x, weights)) % (1 << 64))
-              for x in offsets(blocks, radius)]
-    visits = F.explode(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("shift"),
-                                                 F.lit(True).alias("own"))),
-                                F.transform(F.lit(shifts).cast("array<bigint>"), lambda s: F.struct(
-                                    s.alias("shift"), F.lit(False).alias("own")))))
+    half = [sum(d * w for d, w in zip(x, weights)) for x in offsets(blocks, radius)]
+
+    def visited(shifts: list[int]) -> Column:
+        return F.transform(F.lit([signed(x % (1 << 64)) for x in shifts]).cast("array<bigint>"),
+                           lambda s: F.struct(s.alias("shift"), F.lit(False).alias("own")))
+
     key = [F.col("shard")] if "shard" in rows.columns else []
     home = F.col("home") if "home" in rows.columns else F.lit(True)
+    own = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.lit(True).alias("own")))
+    there = visited(half)
+    if key:
+        there = F.when(home, there).otherwise(visited(half + [-x for x in half]))
+    visits = F.explode(F.concat(own, there))
     dealt = rows.select(*key, "fp", home.alias("home"), place.alias("place"), visits.alias("v"))
     return dealt.select(F.xxhash64(*key, F.col("place") + F.col("v.shift")).alias("shard"), "fp",
                         (F.col("home") & F.col("v.own")).alias("home"))
@@ -203,8 +209,12 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
             break
         leaves.append(rows.join(heavy, "shard", "left_anti"))
         vantage = ~vantage if depth % 2 else vantage * 31
-        rows = spool(deal(rows.join(heavy, "shard", "left_semi"), vantage % (1 << 64), depth,
-                          radius))
+        again = rows.join(heavy, "shard", "left_semi")
+        # a visit counts only where some row is at home
+        homes = cut_lineage(deal(again.filter("home"), vantage % (1 << 64), depth, radius)
+                            .filter("home").select("shard").distinct())
+        rows = spool(deal(again, vantage % (1 << 64), depth, radius)
+                     .join(broadcast_within(homes, 16), "shard", "left_semi"))
     leaves.append(rows)
     spark = fps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)

@@ -175,6 +175,24 @@ def test_vantage_point_links(spark, monkeypatch, radius, leaf):
     assert len(groups) == len(set(found))
 
 
+@pytest.mark.parametrize("radius", [2, 3])
+def test_links_of_shards_dealt_twice(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 2)
+    draw, depths, deal = random.Random(radius), [], simhash.deal
+    monkeypatch.setattr(simhash, "deal", lambda rows, vantage, depth, radius: depths.append(
+        depth) or deal(rows, vantage, depth, radius))
+    flip = lambda x, n: x ^ sum(1 << b for b in draw.sample(range(64), n))
+    base = draw.getrandbits(64)
+    ones = [flip(base, 14) for _ in range(60)]
+    pairs = [(x, flip(x, draw.randint(1, radius))) for x in ones]
+    df = spark.createDataFrame([(simhash.signed(x),) for x in {y for p in pairs for y in p}],
+                               "fp long")
+    stars = {r.node: r.root for r in simhash.components(simhash.links(df, radius)).collect()}
+    root = lambda x: stars.get(simhash.signed(x), simhash.signed(x))
+    assert set(depths) == {0, 1, 2}
+    assert [root(x) for x, _ in pairs] == [root(y) for _, y in pairs]
+
+
 def test_sketches(spark, monkeypatch):
     draw = random.Random(9)
     texts = TEXTS + ["\n".join(f"line {draw.randint(0, 80)}." for _ in range(n))
