@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inquest.llm import licences, lines, pii, tokencounts, toxicity
+from inquest.llm import licences, lines, pii, shinglesets, tokencounts, toxicity
 from test_exact import docs, empty
 
 LONG = ["a line that has eight words or more {}", "another line with quite enough words in it {}"]
@@ -201,3 +201,50 @@ def test_pipeline(spark, tmp_path):
     copies = spark.read.parquet(str(tmp_path / "mix_sources")).groupBy("doc_id").count()
     assert copies.filter("count > 2").count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sizes["byte_bpe"]
+
+
+def shingle_classes(texts):
+    """Brute force: the classes of texts linked by exact Jaccard 0.8 of five-word shingles."""
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    sets, root = [shingles(x) for x in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * all_ and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("often", [8, 1])
+def test_near_copies_by_shingles(spark, monkeypatch, often):
+    monkeypatch.setattr(shinglesets, "OFTEN", often)
+    monkeypatch.setattr(shinglesets, "SAMPLE", 16 if often > 1 else 1)
+    draw, texts = random.Random(often), ["", " ", "one", "One", "two words"]
+    for i in range(40):
+        words = [f"w{draw.randrange(400)}" for _ in range(draw.choice([6, 30, 90, 200]))]
+        for _ in range(6):                       # chains of copies, around similarity 0.8
+            words = list(words)
+            for _ in range(draw.choice([0, 1, 1, max(1, len(words) // 60)])):
+                words[draw.randrange(len(words))] = f"w{draw.randrange(400)}"
+            if draw.random() < 0.3:
+                words += [f"w{draw.randrange(400)}" for _ in range(len(words) // 10)]
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = shingle_classes(texts)
+    kept = {r.doc_id for r in shinglesets.one_per_class(df.repartition(3)).collect()}
+    assert kept == set(root) and len(kept) < 200
+
+
+def test_near_copies_with_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, long), (2, long + " more"), (2, "another text"), (3, "a third"), (3, "a third"),
+            (None, "alone"), (None, "a Third"), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, shinglesets.one_per_class(df).collect()), key=str)
+    empty = [x for x in got if not x[1]]
+    assert len(empty) == 1
+    assert [x for x in got if x[1]] == sorted([(1, long), (2, "another text"), (3, "a third"),
+                                               (None, "alone")], key=str)
