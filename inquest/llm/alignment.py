@@ -19,10 +19,10 @@ is aligned in linear time; only short ones are remembered. An empty table gives
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import uuid
-from collections.abc import Iterator
-from itertools import accumulate
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,53 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inquest.llm.common import present, shared_folder
 
-BLOCK_ROWS, BLOCK_BYTES = 4096, 32 << 20   # a block of documents ends at either
-REMEMBER = 1 << 18                         # windows a task remembers at once
+BLOCK_ROWS = 4096                          # a block of documents ends at either of these
+BLOCK_WINDOWS, BLOCK_PAIRS = 1 << 21, 1 << 23
+REMEMBER = 1 << 18                         # a task that remembers more windows starts afresh
 LONG_WINDOW = 256                          # tokens; longer windows hardly come again
 MARK = "▁"
+# Fixed value: how byte-level files split a text before merging.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level(a_json: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """An encoder without special tokens, and the bytes of every id.
+
+    A plain byte-level file whose merges come in the order of their ids is the same tokenizer as
+    its vocabulary used as ranks, which a faster library encodes by; other files go to their own.
+    """
+    from tokenizers import Tokenizer
+    file = json.loads(a_json)
+    model, before = file["model"], file["pre_tokenizer"]
+    # printable bytes stand for themselves, the others for the letters from U+0100 on, in order
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain}
+    letters |= {chr(256 + i): b for i, b in
+                enumerate(b for b in range(256) if b not in set(plain))}
+
+    def spelt(token: str) -> bytes:
+        return bytes(map(letters.__getitem__, token)) if all(
+            map(letters.__contains__, token)) else token.encode()
+    whole = Tokenizer.from_str(a_json)
+    whole.encode_special_tokens = True
+    whole.no_padding()
+    whole.no_truncation()
+    tokens = [spelt(whole.id_to_token(i) or "")
+              for i in range(whole.get_vocab_size(with_added_tokens=True))]
+    vocabulary = model.get("vocab", {})
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "")
+              for m in model.get("merges", [])]
+    order = [vocabulary.get(m, -1) for m in merged]
+    if (model["type"] == "BPE" and not file.get("normalizer") and before == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+            and not any(model.get(k) for k in ("dropout", "unk_token", "byte_fallback", "ignore_merges",
+                                               "continuing_subword_prefix", "end_of_word_suffix"))
+            and order == sorted(order) and len(vocabulary) == 256 + len(merged)
+            and all(vocabulary[c] < min(order, default=256) for c in letters)):
+        import tiktoken
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, special_tokens={}, mergeable_ranks={
+            spelt(t): i for t, i in vocabulary.items()}).encode_ordinary, tokens
+    return lambda text: whole.encode(text, add_special_tokens=False).ids, tokens
 
 
 class Pair:
@@ -44,15 +87,9 @@ class Pair:
         self.a_json, self.b_model = a_json, b_model
 
     def open(self) -> Pair:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark runs the tasks side by side
         import sentencepiece
-        from tokenizers import Tokenizer
-        self.a = Tokenizer.from_str(self.a_json)
-        self.a.encode_special_tokens = True
-        self.a.no_padding()
-        self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
-        self.a_bytes = self.byte_level()
+        self.encode_a, self.a_bytes = byte_level(self.a_json)
         self.b_bytes = [self.piece(i) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
@@ -60,134 +97,150 @@ class Pair:
         self.b_mark = np.array([x[:1] == b" " for x in self.b_bytes])
         return self
 
-    def byte_level(self) -> list[bytes]:
-        """Tokens of the byte-level alphabet: printable bytes stand for themselves, the others
-        for the letters from U+0100 on, in order."""
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        letters = {chr(b): b for b in plain}
-        letters |= {chr(256 + i): b for i, b in
-                    enumerate(b for b in range(256) if b not in set(plain))}
-        size = self.a.get_vocab_size(with_added_tokens=True)
-        tokens = [self.a.id_to_token(i) or "" for i in range(size)]
-        return [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-                for t in tokens]
-
     def piece(self, i: int) -> bytes:
         text = self.b.id_to_piece(i)
         if self.b.is_byte(i):
             return bytes([int(text[3:5], 16)])
         return text.replace(MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[tuple, tuple]]:
         """Ids of both sides for each text; none where either does not spell the text."""
-        a_ids = [e.ids for e in self.a.encode_batch([" " + t for t in texts],
-                                                    add_special_tokens=False)]
-        b_ids = self.b.encode(texts, num_threads=1)
+        a_ids = map(tuple, map(self.encode_a, [" " + t for t in texts]))
+        b_ids = map(tuple, self.b.encode(texts, num_threads=1))
         for text, a, b in zip(texts, a_ids, b_ids):
             whole = b" " + text.encode()
             spelt = (text and b"".join(map(self.a_bytes.__getitem__, a)) == whole
                      and b"".join(map(self.b_bytes.__getitem__, b)) == whole)
-            yield (a, b) if spelt else ([], [])
-
-
-def groups_of(a: tuple, b: tuple, a_length, b_length) -> list[tuple[tuple, tuple]]:
-    """The groups of a window: id tuples between byte offsets where both sides end."""
-    a_ends = list(accumulate(a_length[x] for x in a))
-    b_ends = list(accumulate(b_length[x] for x in b))
-    out, i, j, first_a, first_b = [], 0, 0, 0, 0
-    while i < len(a):
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            out.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-        elif a_ends[i] < b_ends[j]:
-            i += 1
-        else:
-            j += 1
-    return out
+            yield (a, b) if spelt else ((), ())
+
+
+class Memory:
+    """Window alignments by the pair of id tuples: text, number of groups, linked pairs.
+
+    Windows and linked pairs are numbered; the pairs of the windows lie end to end.
+    """
+
+    def __init__(self, ids: int):
+        self.names = [str(i) for i in range(ids)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.seen: dict[tuple, tuple[str, list[int]]] = {}      # groups
+        self.linked: dict[tuple[int, int], int] = {}
+        self.text: list[str] = []
+        self.groups = array("q")
+        self.pairs, self.ends = array("q"), array("q", [0])
+
+    def aligned(self, key: tuple[tuple, tuple], groups: list[tuple[tuple, tuple]]) -> int:
+        """Keep the alignment of a window that is not remembered, and give its number."""
+        texts = []
+        for group in groups:
+            found = self.seen.get(group)
+            if found is None:
+                a, b = group
+                number, name = self.linked, self.names.__getitem__
+                found = (",".join(map(name, a)) + "|" + ",".join(map(name, b)),
+                         [number.setdefault((x, y), len(number)) for x in a for y in b])
+                if len(a) <= LONG_WINDOW:
+                    self.seen[group] = found
+            texts.append(found[0])
+            self.pairs.extend(found[1])
+        new = len(self.text)
+        self.text.append(";".join(texts))
+        self.groups.append(len(groups))
+        self.ends.append(len(self.pairs))
+        if len(key[0]) <= LONG_WINDOW:
+            self.number[key] = new
+        return new
+
+
+def whole(values: array) -> np.ndarray:
+    return np.frombuffer(values, dtype=np.int64) if len(values) else np.empty(0, dtype=np.int64)
 
 
 class Block:
-    """Documents aligned by one task, with the id pairs they link, numbered."""
+    """Documents aligned by one task, with the id pairs they link."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self.lengths = pair.a_length.tolist(), pair.b_length.tolist()
+        self.memory = Memory(max(len(pair.a_bytes), len(pair.b_bytes)))
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[tuple[int, int], int] = {}
-        self.windows: dict[tuple, tuple] = {}
         self.docs: list[tuple] = []
-        self.held: list[np.ndarray] = []            # each document's different pairs
-        self.size = 0
-
-    def aligned(self, a: tuple, b: tuple) -> tuple:
-        """``text, groups, links, pairs, times`` of a window."""
-        groups = groups_of(a, b, *self.lengths)
-        pairs: dict[int, int] = {}
-        number = self.number
-        for left, right in groups:
-            for x in left:
-                for y in right:
-                    n = number.setdefault((x, y), len(number))
-                    pairs[n] = pairs.get(n, 0) + 1
-        text = ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right))
-                        for left, right in groups)
-        return text, len(groups), sum(pairs.values()), list(pairs), list(pairs.values())
-
-    def add(self, doc_id: int | None, a: list[int], b: list[int]) -> None:
-        if not a:
-            self.docs.append((doc_id, 0, 0, 0, 0, "", [], []))
-            self.held.append(np.empty(0, dtype=np.int64))
-            return
-        pair = self.pair
-        x, y = np.array(a), np.array(b)
-        a_starts = np.concatenate([[0], np.cumsum(pair.a_length[x])[:-1]])
-        b_starts = np.concatenate([[0], np.cumsum(pair.b_length[y])[:-1]])
-        # both have a space-marked token here, so the tokens before it end here on both sides
-        shared = np.intersect1d(a_starts[pair.a_mark[x]], b_starts[pair.b_mark[y]])
-        a_cuts = [*np.searchsorted(a_starts, shared[shared > 0]).tolist(), len(a)]
-        b_cuts = [*np.searchsorted(b_starts, shared[shared > 0]).tolist(), len(b)]
-        texts, groups, links, pairs, times = [], 0, 0, [], []
-        at_a = at_b = 0
-        for to_a, to_b in zip(a_cuts, b_cuts):
-            key = tuple(a[at_a:to_a]), tuple(b[at_b:to_b])
-            found = self.windows.get(key)
-            if found is None:
-                found = self.aligned(*key)
-                if to_a - at_a <= LONG_WINDOW:
-                    if len(self.windows) >= REMEMBER:
-                        self.windows.clear()
-                    self.windows[key] = found
-            texts.append(found[0])
-            groups += found[1]
-            links += found[2]
-            pairs += found[3]
-            times += found[4]
-            at_a, at_b = to_a, to_b
-        numbers, back = np.unique(np.array(pairs, dtype=np.int64), return_inverse=True)
-        counts = np.bincount(back, weights=times).astype(np.int64)
-        digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
-        self.docs.append((doc_id, len(a), len(b), groups, links, digest, numbers, counts))
-        self.held.append(numbers)
-        self.size += 8 * len(numbers)
+        self.windows, self.ends = array("q"), array("q", [0])     # of each document
+        if len(self.memory.text) > REMEMBER:
+            self.memory.clear()
+
+    def full(self) -> bool:
+        return (len(self.docs) >= BLOCK_ROWS or len(self.windows) >= BLOCK_WINDOWS
+                or len(self.memory.pairs) >= BLOCK_PAIRS)
+
+    def add(self, doc_id: int | None, a: tuple, b: tuple) -> None:
+        digest = ""
+        if a:
+            pair, memory = self.pair, self.memory
+            x, y = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
+            a_ends, b_ends = np.cumsum(pair.a_length[x]), np.cumsum(pair.b_length[y])
+            # tokens of both sides that end at one byte close a group ...
+            at = np.searchsorted(b_ends, a_ends)
+            shared = b_ends[at] == a_ends
+            a_cuts, b_cuts = np.nonzero(shared)[0] + 1, at[shared] + 1
+            # ... and a window where a space-marked token follows on both sides, or the end
+            last = len(a_cuts) - 1
+            marked = np.ones(last + 1, dtype=bool)
+            marked[:last] = pair.a_mark[x[a_cuts[:last]]] & pair.b_mark[y[b_cuts[:last]]]
+            a_at, b_at = [0, *a_cuts[marked].tolist()], [0, *b_cuts[marked].tolist()]
+            keys = [(a[i:j], b[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
+            found = list(map(memory.number.get, keys))
+            if None in found:
+                a_all, b_all = [0, *a_cuts.tolist()], [0, *b_cuts.tolist()]
+                edge = [0, *(np.nonzero(marked)[0] + 1).tolist()]
+                for w, n in enumerate(found):
+                    if n is None:                    # an earlier window may be the same
+                        n = memory.number.get(keys[w])
+                        found[w] = memory.aligned(keys[w], [
+                            (a[a_all[g]:a_all[g + 1]], b[b_all[g]:b_all[g + 1]])
+                            for g in range(edge[w], edge[w + 1])]) if n is None else n
+            self.windows.extend(found)
+            digest = hashlib.sha256(";".join(map(memory.text.__getitem__, found)).encode()).hexdigest()
+        self.ends.append(len(self.windows))
+        self.docs.append((doc_id, len(a), len(b), digest))
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         """The documents, then the block's pairs with the number of documents that hold each."""
-        n = len(self.docs)
-        if n:
-            ids, n_a, n_b, groups, links, digests, pairs, times = zip(*self.docs)
-            yield batch([0] * n, [block] * n, doc_id=ids, n_a=n_a, n_b=n_b, n_groups=groups,
-                        n_links=links, groups_sha256=digests, pairs=pairs, times=times)
-        if self.number:
-            a, b = np.array(list(self.number), dtype=np.int64).T
-            docs = np.bincount(np.concatenate(self.held), minlength=len(a))
-            m = len(a)
-            for at in range(0, m, 1 << 16):
-                to = min(m, at + (1 << 16))
-                yield batch([1] * (to - at), [block] * (to - at), pair=range(at, to),
-                            a=a[at:to], b=b[at:to], docs=docs[at:to])
+        n, memory = len(self.docs), self.memory
+        if not n:
+            return
+        windows, ends = whole(self.windows), whole(memory.ends)
+        doc = np.repeat(np.arange(n), np.diff(whole(self.ends)))
+        links = np.diff(ends)[windows]
+        # each window's pairs, for each document that has it
+        at = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links - ends[windows], links)
+        every = max(1, len(memory.linked))
+        held, times = np.unique(np.repeat(doc, links) * every + whole(memory.pairs)[at],
+                                return_counts=True)
+        owner, number = np.divmod(held, every)
+        docs = np.bincount(number, minlength=every)
+        here = np.nonzero(docs)[0]                    # the pairs of this block, numbered anew
+        place = np.cumsum(docs > 0) - 1
+        cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+
+        def lists(values: np.ndarray) -> pa.ListArray:
+            return pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(np.int32)))
+
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
+        ids, n_a, n_b, digests = zip(*self.docs)
+        yield batch(n, block, 0, doc_id=ids, n_a=n_a, n_b=n_b, groups_sha256=digests,
+                    n_groups=total(whole(memory.groups)[windows]), n_links=total(links),
+                    pairs=lists(place[number]), times=lists(times))
+        known = np.array(list(memory.linked), dtype=np.int64).reshape(-1, 2)[here]
+        for at in range(0, len(here), 1 << 16):
+            some = slice(at, min(len(here), at + (1 << 16)))
+            yield batch(some.stop - at, block, 1, pair=np.arange(at, some.stop), a=known[some, 0],
+                        b=known[some, 1], docs=docs[here[some]])
         self.clear()
 
 
@@ -203,11 +256,15 @@ RESULT = ("doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
           "count_sum long, groups_sha256 string")
 
 
-def batch(part: list[int], block: list[int], **columns) -> pa.RecordBatch:
-    columns |= {"part": part, "block": block}
-    return pa.record_batch([
-        pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(part), f.type)
-        for f in SCHEMA], schema=SCHEMA)
+def batch(rows: int, block: int, part: int, **columns) -> pa.RecordBatch:
+    columns |= {"part": np.full(rows, part), "block": np.full(rows, block)}
+
+    def column(field: pa.Field) -> pa.Array:
+        if field.name not in columns:
+            return pa.nulls(rows, field.type)
+        values = columns[field.name]
+        return values if isinstance(values, pa.Array) else pa.array(values, field.type)
+    return pa.record_batch([column(f) for f in SCHEMA], schema=SCHEMA)
 
 
 def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
@@ -226,7 +283,7 @@ def blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
                 texts = piece.column(1).to_pylist()
                 for doc_id, ids in zip(piece.column(0).to_pylist(), pair.encode(texts)):
                     mine.add(doc_id, *ids)
-                    if len(mine.docs) >= BLOCK_ROWS or mine.size >= BLOCK_BYTES:
+                    if mine.full():
                         yield from mine.rows(base + at)
                         at += 1
         yield from mine.rows(base + at)

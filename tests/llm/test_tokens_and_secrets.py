@@ -85,6 +85,7 @@ def plain_alignment(texts):
 def test_alignment(spark, monkeypatch, block_rows, remember):
     monkeypatch.setattr(alignment, "BLOCK_ROWS", block_rows)
     monkeypatch.setattr(alignment, "REMEMBER", remember)
+    monkeypatch.setattr(alignment, "LONG_WINDOW", 256 if remember > 3 else 2)
     draw = random.Random(4)
     words = ["the", "then", "there", "é", "漢", "in", "ing", "\n", "  ", "x1", ".", "Reoush", "🤖"]
     texts = TEXTS + ["".join(draw.choice(words) + draw.choice(["", " "])
