@@ -51,6 +51,14 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def present(text: Column) -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(text, F.lit(""))
@@ -62,4 +70,4 @@ def broadcast_within(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> Da
 
 
 __all__ = ["WORD", "SPACE", "QUERIES", "ORACLES", "query", "table", "spool", "bucketed", "present",
-           "broadcast_within", "cut_lineage", "shared_folder"]
+           "unused", "broadcast_within", "cut_lineage", "shared_folder"]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,8 +219,9 @@ def shingle_classes(texts):
     return root
 
 
-@pytest.mark.parametrize("often", [8, 1])
-def test_near_copies_by_shingles(spark, monkeypatch, often):
+@pytest.mark.parametrize("often,blocks", [(8, 4096), (1, 4096), (8, 3)])
+def test_near_copies_by_shingles(spark, monkeypatch, often, blocks):
+    monkeypatch.setattr(shinglesets, "LIST", blocks)
     monkeypatch.setattr(shinglesets, "OFTEN", often)
     monkeypatch.setattr(shinglesets, "SAMPLE", 16 if often > 1 else 1)
     draw, texts = random.Random(often), ["", " ", "one", "One", "two words"]
@@ -238,6 +240,37 @@ def test_near_copies_by_shingles(spark, monkeypatch, often):
     assert kept == set(root) and len(kept) < 200
 
 
+def test_a_member_that_thousands_of_sets_share(spark, monkeypatch):
+    monkeypatch.setattr(shinglesets, "LIST", 500)
+    monkeypatch.setattr(shinglesets, "OFTEN", 1 << 30)          # so it stays in the prefixes
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} own{i} words{i}" for i in range(3000)]           # 0.9: one class
+    texts += [passage + " " + " ".join(f"o{i}x{k}" for k in range(60)) for i in range(1500)]   # 0.2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in shinglesets.one_per_class(df.repartition(4)).collect()}
+    assert kept == {0, *range(3000, 4500)}
+
+
+def test_sketches_bound_the_difference():
+    draw = np.random.default_rng(1)
+    for n in (1, 30, 200, 3000):
+        whole = draw.integers(0, 1 << 63, n * 2, dtype=np.uint64)
+        for m in (n, n + n // 4, 2 * n):
+            a, b = np.unique(whole[:n]), np.unique(whole[n // 10:m])
+            far = shinglesets.apart(shinglesets.sketch(a), shinglesets.sketch(b))
+            assert far <= len(np.setxor1d(a, b))
+    assert shinglesets.apart(shinglesets.sketch(a), shinglesets.sketch(a)) == 0
+
+
+def test_near_copies_keep_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(1, "a b", "h", 1, 5), (2, "A b", "i", 2, 6), (3, "c", "j", 3, 7)],
+                               "doc_id long, text string, hash string, nth int, __hash int")
+    got = shinglesets.one_per_class(df.unionByName(df))
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, "a b", "h", 1, 5), (3, "c", "j", 3, 7)]
+    assert shinglesets.one_per_class(df.limit(0)).count() == 0
+
+
 def test_near_copies_with_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(100))
     rows = [(1, long), (2, long + " more"), (2, "another text"), (3, "a third"), (3, "a third"),
