@@ -161,13 +161,17 @@ def cleaning_applied(spark, sf):
 
 # --- redaction ---------------------------------------------------------------
 
-@query("""WITH k AS (SELECT DISTINCT c_name FROM customer WHERE length(c_name) >= 3)
-   SELECT c_custkey, CASE WHEN k.c_name IS NULL THEN 'call ' || upper(customer.c_name) || ', then wait'
-     ELSE 'call [REDACTED], then wait' END AS note FROM customer LEFT JOIN k ON customer.c_name = k.c_name""")
+@query("""SELECT c_custkey, 'İß🤖 call [REDACTED]7, ' || CASE WHEN k.c_name IS NULL
+     THEN 'cuſtomer#' || lpad((c_custkey * 3)::VARCHAR, 9, '0') ELSE '[REDACTED]' END || ' in [REDACTED].' AS note
+   FROM customer LEFT JOIN (SELECT DISTINCT c_name FROM customer) k
+     ON k.c_name = 'Customer#' || lpad((customer.c_custkey * 3)::VARCHAR, 9, '0')""")
 def redacted_text(spark, sf):
+    """Known and unknown names in odd cases, behind letters that grow when lower-cased."""
     c = load(spark, sf, "customer")
-    notes = c.select("c_custkey", F.concat(F.lit("call "), F.upper("c_name"), F.lit(", then wait")).alias("note"))
-    return redaction.scrub_column(notes, "note", redaction.sensitive_values(c, ["c_name"]))
+    other = F.concat(F.lit("cuſtomer#"), F.lpad((F.col("c_custkey") * 3).cast("string"), 9, "0"))
+    notes = c.select("c_custkey", F.concat(F.lit("İß🤖 call "), F.upper("c_name"), F.lit("7, "), other,
+                                           F.lit(" in "), F.lower("c_mktsegment"), F.lit(".")).alias("note"))
+    return redaction.scrub_column(notes, "note", redaction.sensitive_values(c, ["c_name", "c_mktsegment"]))
 
 
 @query("""SELECT 'c_mktsegment' AS "column", c_mktsegment AS value FROM customer GROUP BY 2

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inquest.constants import MIN_SECRET_CHARS, REDACTED
@@ -62,45 +66,129 @@ def scrub(text: Column, values: list[str]) -> Column:
     return F.regexp_replace(text, F.lit(pattern_of(usable)), F.lit(REDACTED))
 
 
+HEAD = MIN_SECRET_CHARS                     # characters a place is looked up by
+PART_VALUES, PART_CHARS = 1 << 20, 1 << 26  # a part of the values ends at either
+SPANS = "array<struct<start:int,size:int>>"
+
+
+@lru_cache(maxsize=1)
+def case_table() -> np.ndarray:
+    """A code point for every code point: the same for all cases of a letter, never longer.
+
+    Lower-casing a text can lengthen it (U+0130), which would shift every place behind it.
+    """
+    table = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x1F000):                            # no cased letters beyond
+        upper = chr(c).upper()
+        table[c] = ord((upper if len(upper) == 1 else chr(c)).lower()[0])
+    return table
+
+
+def fold(text: str) -> np.ndarray:
+    """The code points of a text without case, one for each character."""
+    return case_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
+
+def spelt(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def heads_of(codes: np.ndarray) -> np.ndarray:
+    """At each place the first ``HEAD`` (three) characters as one number; 21 bits each."""
+    wide = codes.astype(np.uint64)
+    n = max(0, len(wide) - (HEAD - 1))
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(HEAD):
+        out = out << np.uint64(21) | wide[k:k + n]
+    return out
+
+
+class Finder:
+    """A bounded part of the values: found by their first characters, then by whole lengths."""
+
+    def __init__(self, values: list[str]):
+        folded = [c for c in map(fold, values) if len(c) >= HEAD]
+        self.values = {spelt(c) for c in folded}
+        sizes: dict[int, set[int]] = {}
+        for c in folded:
+            sizes.setdefault(int(heads_of(c[:HEAD])[0]), set()).add(len(c))
+        self.sizes = {h: sorted(x, reverse=True) for h, x in sizes.items()}
+        self.heads = np.array(sorted(sizes), dtype=np.uint64)
+
+    def places(self, texts: list[str | None]) -> list[list[tuple[int, int]]]:
+        """For each text, ``start, size`` of the longest value at every place that has one."""
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for k, text in enumerate(texts):
+            if not text or len(text) < HEAD or not len(self.heads):
+                continue
+            codes = fold(text)
+            heads = heads_of(codes)
+            at = np.searchsorted(self.heads, heads)
+            at[at == len(self.heads)] = 0
+            hits = np.nonzero(self.heads[at] == heads)[0]
+            if not len(hits):
+                continue
+            whole, known = spelt(codes), self.values
+            for start, head in zip(hits.tolist(), heads[hits].tolist()):
+                for size in self.sizes[head]:
+                    if whole[start:start + size] in known:
+                        out[k].append((start, size))
+                        break
+        return out
+
+
+def withheld(text: str | None, places: list[tuple[int, int]]) -> str | None:
+    """The text with the leftmost and then longest of overlapping places replaced."""
+    if not places:
+        return text
+    out, at = [], 0
+    for start, size in sorted(places, key=lambda p: (p[0], -p[1])):
+        if start >= at:
+            out += [text[at:start], REDACTED]
+            at = start + size
+    return "".join([*out, text[at:]])
+
+
 def scrub_column(df: DataFrame, text: str, secrets: DataFrame) -> DataFrame:
     """``df`` with every listed value in its text column replaced, whatever its case.
 
-    No list of values is collected: each text is cut at the lengths that values have, the
-    pieces are joined with the table of values by a hash, and of overlapping finds the first
-    and then the longest is replaced. One row per find is all that leaves a task.
+    The values travel to the texts in parts of bounded size, so no text is shuffled, whatever the
+    number of values; a task looks at whole batches for the places where a value can begin. Of
+    overlapping finds the first and then the longest is replaced. Null texts stay null.
     """
-    values = (secrets.select(F.lower("value").alias("secret"))
-              .where(F.length("secret") >= MIN_SECRET_CHARS).distinct())
-    # a value is looked up by its first characters, so only places that begin one are cut out
-    starts = values.select(F.substring("secret", 1, MIN_SECRET_CHARS).alias("head"),
-                           F.length("secret").alias("size")).distinct()
-    longest = starts.agg(F.max("size")).first()[0]
-    if longest is None:
+    values = secrets.select("value").where(F.length("value") >= HEAD).distinct()
+    facts = values.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars")).first()
+    if not facts["n"]:
         return df
-    low, key = F.lower(F.col(f"`{text}`")), ["__h1", "__h2"]
-    keyed = df.withColumns({"__h1": F.xxhash64(low), "__h2": F.xxhash64(F.lit(1), low)})
-    begin = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (MIN_SECRET_CHARS - 1)))
-    places = keyed.select(*key, F.explode(F.transform(begin, lambda at: F.struct(
-        at.alias("at"), F.substring(low, at, F.lit(longest)).alias("piece")))).alias("p"))
-    heads = places.select(*key, "p.at", "p.piece", F.substring(
-        "p.piece", 1, MIN_SECRET_CHARS).alias("head"))
-    pieces = heads.join(starts, "head").select(*key, "at", "size", F.substring(
-        F.col("piece"), F.lit(1), F.col("size")).alias("secret"))
-    finds = (pieces.join(values, "secret").groupBy(*key, "at").agg(F.max("size").alias("size"))
-             .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("__finds")))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    whole = F.col(f"`{text}`")
-
-    def step(state: Column, find: Column) -> Column:
-        put = F.concat(state["out"], F.substring(whole, state["at"], find["at"] - state["at"]),
-                       F.lit(REDACTED))
-        return F.when(find["at"] >= state["at"], F.struct(
-            (find["at"] + find["size"]).alias("at"), put.alias("out"))).otherwise(state)
-    done = F.aggregate("__finds", start, step, lambda s: F.concat(
-        s["out"], F.substring(whole, s["at"], F.length(whole))))
-    out = keyed.join(finds, key, "left").withColumn(text, F.when(
-        F.col("__finds").isNotNull(), done).otherwise(whole))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+    parts = max(-(-facts["n"] // PART_VALUES), -(-facts["chars"] // PART_CHARS))
+    column, names = F.col(f"`{text}`"), [F.col(f"`{c}`") for c in df.columns]
+
+    def part(k: int) -> Finder:
+        some = values if parts == 1 else values.where(
+            F.pmod(F.xxhash64("value"), F.lit(parts)) == k)
+        return Finder(some.toArrow().column("value").to_pylist())
+    if parts == 1:
+        finder = part(0)
+
+        @F.pandas_udf("string")
+        def scrubbed(texts: pd.Series) -> pd.Series:
+            listed = texts.tolist()
+            return pd.Series(list(map(withheld, listed, finder.places(listed))), dtype=object)
+        return df.withColumn(text, scrubbed(column)).select(*names)
+
+    def finds(finder: Finder) -> Column:
+        @F.pandas_udf(SPANS)
+        def found(texts: pd.Series) -> pd.Series:
+            return pd.Series([[{"start": a, "size": n} for a, n in places]
+                              for places in finder.places(texts.tolist())], dtype=object)
+        return found(column)
+
+    @F.pandas_udf("string")
+    def put(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([withheld(t, [(p["start"], p["size"]) for p in ps])
+                          for t, ps in zip(texts, places)], dtype=object)
+    every = F.concat(*[finds(part(k)) for k in range(parts)])
+    return df.withColumn(text, put(column, every)).select(*names)
 
 
 def withhold_samples(columns: DataFrame, sensitive: list[str]) -> DataFrame:

@@ -186,6 +186,37 @@ def test_scrubbing_equals_a_plain_search(spark):
     assert df.select(redaction.scrub(F.col("t"), values)).first()[0] == plain.sub("[REDACTED]", text)
 
 
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_scrubbing_a_column_equals_a_plain_search(spark, monkeypatch, part):
+    import re
+    monkeypatch.setattr(redaction, "PART_VALUES", part)
+    rng = np.random.default_rng(5)
+    letters = list("abKsSß.*🤖İı漢 ")
+    values = ["".join(rng.choice(letters, rng.integers(3, 7))) for _ in range(150)] + ["Ann", "Ann Marie"]
+    texts = ["".join(rng.choice([*letters, "A", "B", "k", "ſ", "\u212a"], 400)) for _ in range(30)]
+    texts += ["İİİ call ANN MARIE now", "ann annmarie", "", None, "an"]
+    usable = sorted({v for v in values}, key=len, reverse=True)
+    plain = re.compile("|".join(re.escape(v) for v in usable), re.I)
+    df = spark.createDataFrame(list(enumerate(texts)), "at int, `a text` string").repartition(3)
+    secrets = spark.createDataFrame([("c", v) for v in values] + [("c", None), ("c", "x")],
+                                    "`column` string, value string")
+    got = redaction.scrub_column(df, "a text", secrets)
+    assert got.columns == df.columns
+    want = {i: t if t is None else plain.sub("[REDACTED]", t) for i, t in enumerate(texts)}
+    assert {r[0]: r[1] for r in got.collect()} == want
+    assert want[30] == "İİİ call [REDACTED] now"
+    none = redaction.scrub_column(df, "a text", secrets.limit(0))
+    assert none.collect() == df.collect()
+
+
+def test_scrubbing_by_a_million_values(spark):
+    values = spark.range(1_000_000).selectExpr("'c' AS `column`", "concat('Person-', id, '@x') AS value")
+    df = spark.createDataFrame([(1, "to PERSON-77@x and Person-1000000@x"), (2, "person-999999@X.")],
+                               "k int, t string")
+    got = {r.k: r.t for r in redaction.scrub_column(df, "t", values).collect()}
+    assert got == {1: "to [REDACTED] and Person-1000000@x", 2: "[REDACTED]."}
+
+
 def test_scores(spark):
     def pairs(x):
         return spark.createDataFrame(x, "`column` string, issue string")
