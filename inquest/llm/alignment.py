@@ -2,9 +2,10 @@
 
 Both tokenizers encode the whole text. Where both have a token that begins with a space mark at
 one and the same byte, the tokens before it end there on both sides: such shared ends cut a
-document into windows of token ids. A window's alignment follows from its ids alone, so each task
-remembers it by the pair of id tuples. Within a window, every byte offset where tokens of both
-sides end closes a group; all A-B pairs of a group are linked.
+document into windows of token ids. A window's alignment follows from its ids alone, so it is
+worked out once for each different pair of id tuples of a block of documents. Within a window,
+every byte offset where tokens of both sides end closes a group; all A-B pairs of a group are
+linked.
 
 How many documents hold a pair of ids linked is counted over the corpus: a task reports each
 pair once for a block of documents, with its count there, and only those rows are shuffled. The
@@ -12,8 +13,8 @@ totals return to the blocks, which hold each document's pairs as numbers within
 
 Defined results: texts that are null or empty, or whose tokens do not spell the text (with a
 space before it), have no tokens: zeros and an empty digest. Special tokens inside texts are
-plain text. Each row is a document of its own, repeated and null ids too. A window of any length
-is aligned in linear time; only short ones are remembered. An empty table gives an empty result.
+plain text. Each row is a document of its own, repeated and null ids too. Windows and groups of
+any length take linear time, but for the pairs that they link. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,17 +32,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inquest.llm.common import present, shared_folder
 
-BLOCK_ROWS = 4096                          # a block of documents ends at either of these
-BLOCK_WINDOWS, BLOCK_PAIRS = 1 << 21, 1 << 23
-REMEMBER = 1 << 18                         # a task that remembers more windows starts afresh
-LONG_WINDOW = 256                          # tokens; longer windows hardly come again
+BLOCK_ROWS, BLOCK_TOKENS = 4096, 1 << 21   # a block of documents ends at either of these
+ONE = np.ones(1, dtype=np.int64)
 MARK = "▁"
 # Fixed value: how byte-level files split a text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_level(a_json: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
-    """An encoder without special tokens, and the bytes of every id.
+def byte_level(a_json: str) -> tuple[Callable[[str], list[int]], list[bytes], bool]:
+    """An encoder without special tokens, the bytes of every id, and whether ids always spell the text.
 
     A plain byte-level file whose merges come in the order of their ids is the same tokenizer as
     its vocabulary used as ranks, which a faster library encodes by; other files go to their own.
@@ -76,8 +75,8 @@ def byte_level(a_json: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
             and all(vocabulary[c] < min(order, default=256) for c in letters)):
         import tiktoken
         return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, special_tokens={}, mergeable_ranks={
-            spelt(t): i for t, i in vocabulary.items()}).encode_ordinary, tokens
-    return lambda text: whole.encode(text, add_special_tokens=False).ids, tokens
+            spelt(t): i for t, i in vocabulary.items()}).encode_ordinary, tokens, True
+    return lambda text: whole.encode(text, add_special_tokens=False).ids, tokens, False
 
 
 class Pair:
@@ -89,7 +88,7 @@ class Pair:
     def open(self) -> Pair:
         import sentencepiece
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
-        self.encode_a, self.a_bytes = byte_level(self.a_json)
+        self.encode_a, self.a_bytes, self.lossless = byte_level(self.a_json)
         self.b_bytes = [self.piece(i) for i in range(self.b.get_piece_size())]
         self.a_length = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
@@ -103,144 +102,140 @@ class Pair:
             return bytes([int(text[3:5], 16)])
         return text.replace(MARK, " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[tuple, tuple]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         """Ids of both sides for each text; none where either does not spell the text."""
-        a_ids = map(tuple, map(self.encode_a, [" " + t for t in texts]))
-        b_ids = map(tuple, self.b.encode(texts, num_threads=1))
+        a_ids = map(self.encode_a, [" " + t for t in texts])
+        b_ids = self.b.encode(texts, num_threads=1)
         for text, a, b in zip(texts, a_ids, b_ids):
             whole = b" " + text.encode()
-            spelt = (text and b"".join(map(self.a_bytes.__getitem__, a)) == whole
-                     and b"".join(map(self.b_bytes.__getitem__, b)) == whole)
-            yield (a, b) if spelt else ((), ())
+            spelt = (text and b"".join(map(self.b_bytes.__getitem__, b)) == whole and (
+                self.lossless or b"".join(map(self.a_bytes.__getitem__, a)) == whole))
+            yield (a, b) if spelt else ([], [])
 
 
-class Memory:
-    """Window alignments by the pair of id tuples: text, number of groups, linked pairs.
+def places(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... within each of consecutive runs."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-    Windows and linked pairs are numbered; the pairs of the windows lie end to end.
-    """
 
-    def __init__(self, ids: int):
-        self.names = [str(i) for i in range(ids)]
-        self.clear()
+def numbered(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each different run, and where each number is first met.
 
-    def clear(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.seen: dict[tuple, tuple[str, list[int]]] = {}      # groups
-        self.linked: dict[tuple[int, int], int] = {}
-        self.text: list[str] = []
-        self.groups = array("q")
-        self.pairs, self.ends = array("q"), array("q", [0])
-
-    def aligned(self, key: tuple[tuple, tuple], groups: list[tuple[tuple, tuple]]) -> int:
-        """Keep the alignment of a window that is not remembered, and give its number."""
-        texts = []
-        for group in groups:
-            found = self.seen.get(group)
-            if found is None:
-                a, b = group
-                number, name = self.linked, self.names.__getitem__
-                found = (",".join(map(name, a)) + "|" + ",".join(map(name, b)),
-                         [number.setdefault((x, y), len(number)) for x in a for y in b])
-                if len(a) <= LONG_WINDOW:
-                    self.seen[group] = found
-            texts.append(found[0])
-            self.pairs.extend(found[1])
-        new = len(self.text)
-        self.text.append(";".join(texts))
-        self.groups.append(len(groups))
-        self.ends.append(len(self.pairs))
-        if len(key[0]) <= LONG_WINDOW:
-            self.number[key] = new
-        return new
-
-
-def whole(values: array) -> np.ndarray:
-    return np.frombuffer(values, dtype=np.int64) if len(values) else np.empty(0, dtype=np.int64)
+    ``runs`` has values and starts of one or several parallel runs. Equal hashes are held to
+    their values, and hashed anew should any two differ.
+    """
+    n = len(runs[0][1])
+    sizes = [np.diff(np.append(starts, len(values))) for values, starts in runs]
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    while True:
+        mark = np.zeros(n, dtype=np.uint64)
+        for (values, starts), size in zip(runs, sizes):
+            x = values.astype(np.uint64) + (places(size).astype(np.uint64) + np.uint64(1)) * salt
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            mark = (mark ^ mark >> np.uint64(29)) * salt + np.add.reduceat(x ^ x >> np.uint64(31), starts)
+        _, first, number = np.unique(mark, return_index=True, return_inverse=True)
+        same = True
+        for (values, starts), size in zip(runs, sizes):
+            model = first[number]
+            same = same and bool((size == size[model]).all()) and bool(
+                (values[np.repeat(starts[model], size) + places(size)] == values).all())
+        if same:
+            return number, first
+        salt += np.uint64(2)
 
 
 class Block:
-    """Documents aligned by one task, with the id pairs they link."""
+    """Documents of one task: aligned together, each different window once."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
-        self.memory = Memory(max(len(pair.a_bytes), len(pair.b_bytes)))
+        self.names = [str(i) for i in range(max(len(pair.a_bytes), len(pair.b_bytes)))]
         self.clear()
 
     def clear(self) -> None:
         self.docs: list[tuple] = []
-        self.windows, self.ends = array("q"), array("q", [0])     # of each document
-        if len(self.memory.text) > REMEMBER:
-            self.memory.clear()
+        self.a, self.b = array("i"), array("i")         # the ids of all documents, end to end
 
     def full(self) -> bool:
-        return (len(self.docs) >= BLOCK_ROWS or len(self.windows) >= BLOCK_WINDOWS
-                or len(self.memory.pairs) >= BLOCK_PAIRS)
-
-    def add(self, doc_id: int | None, a: tuple, b: tuple) -> None:
-        digest = ""
-        if a:
-            pair, memory = self.pair, self.memory
-            x, y = np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
-            a_ends, b_ends = np.cumsum(pair.a_length[x]), np.cumsum(pair.b_length[y])
-            # tokens of both sides that end at one byte close a group ...
-            at = np.searchsorted(b_ends, a_ends)
-            shared = b_ends[at] == a_ends
-            a_cuts, b_cuts = np.nonzero(shared)[0] + 1, at[shared] + 1
-            # ... and a window where a space-marked token follows on both sides, or the end
-            last = len(a_cuts) - 1
-            marked = np.ones(last + 1, dtype=bool)
-            marked[:last] = pair.a_mark[x[a_cuts[:last]]] & pair.b_mark[y[b_cuts[:last]]]
-            a_at, b_at = [0, *a_cuts[marked].tolist()], [0, *b_cuts[marked].tolist()]
-            keys = [(a[i:j], b[k:m]) for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
-            found = list(map(memory.number.get, keys))
-            if None in found:
-                a_all, b_all = [0, *a_cuts.tolist()], [0, *b_cuts.tolist()]
-                edge = [0, *(np.nonzero(marked)[0] + 1).tolist()]
-                for w, n in enumerate(found):
-                    if n is None:                    # an earlier window may be the same
-                        n = memory.number.get(keys[w])
-                        found[w] = memory.aligned(keys[w], [
-                            (a[a_all[g]:a_all[g + 1]], b[b_all[g]:b_all[g + 1]])
-                            for g in range(edge[w], edge[w + 1])]) if n is None else n
-            self.windows.extend(found)
-            digest = hashlib.sha256(";".join(map(memory.text.__getitem__, found)).encode()).hexdigest()
-        self.ends.append(len(self.windows))
-        self.docs.append((doc_id, len(a), len(b), digest))
+        return len(self.docs) >= BLOCK_ROWS or len(self.a) + len(self.b) >= BLOCK_TOKENS
+
+    def add(self, doc_id: int | None, a: list[int], b: list[int]) -> None:
+        self.docs.append((doc_id, len(a), len(b)))
+        self.a.extend(a)
+        self.b.extend(b)
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+        """A group as text, its different id pairs, and how often each is linked."""
+        name = self.names.__getitem__
+        text = ",".join(map(name, a.tolist())) + "|" + ",".join(map(name, b.tolist()))
+        if len(a) == 1 and len(b) == 1:
+            return text, (a.astype(np.int64) << 32 | b), ONE
+        x, n_x = np.unique(a, return_counts=True)
+        y, n_y = np.unique(b, return_counts=True)
+        return (text, (x.astype(np.int64)[:, None] << 32 | y[None, :]).ravel(),
+                (n_x[:, None] * n_y[None, :]).ravel())
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         """The documents, then the block's pairs with the number of documents that hold each."""
-        n, memory = len(self.docs), self.memory
+        n = len(self.docs)
         if not n:
             return
-        windows, ends = whole(self.windows), whole(memory.ends)
-        doc = np.repeat(np.arange(n), np.diff(whole(self.ends)))
-        links = np.diff(ends)[windows]
-        # each window's pairs, for each document that has it
-        at = np.arange(links.sum()) - np.repeat(np.cumsum(links) - links - ends[windows], links)
-        every = max(1, len(memory.linked))
-        held, times = np.unique(np.repeat(doc, links) * every + whole(memory.pairs)[at],
-                                return_counts=True)
-        owner, number = np.divmod(held, every)
-        docs = np.bincount(number, minlength=every)
-        here = np.nonzero(docs)[0]                    # the pairs of this block, numbered anew
-        place = np.cumsum(docs > 0) - 1
+        ids, n_a, n_b = zip(*self.docs)
+        spoken = np.nonzero(n_a)[0]                     # documents that have tokens
+        digests = [""] * n
+        n_groups, n_links = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        held, times = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        pairs = np.empty(0, dtype=np.int64)
+        if len(spoken):
+            a, b = np.frombuffer(self.a, dtype=np.int32), np.frombuffer(self.b, dtype=np.int32)
+            # tokens of both sides that end at one byte close a group; documents end on both sides
+            a_ends, b_ends = np.cumsum(self.pair.a_length[a]), np.cumsum(self.pair.b_length[b])
+            at = np.searchsorted(b_ends, a_ends)
+            shared = b_ends[at] == a_ends
+            a_starts = np.append(0, np.nonzero(shared)[0][:-1] + 1)
+            b_starts = np.append(0, at[shared][:-1] + 1)
+            # a window begins where a space-marked token follows on both sides, as in each text
+            opens = np.nonzero(self.pair.a_mark[a[a_starts]] & self.pair.b_mark[b[b_starts]])[0]
+            group, first = numbered([(a, a_starts), (b, b_starts)])
+            window, model = numbered([(group, opens)])
+            # what is known of each different group
+            size_a, size_b = (np.diff(np.append(x, len(y))) for x, y in ((a_starts, a), (b_starts, b)))
+            known = [self.linked(a[i:i + k], b[j:j + m]) for i, k, j, m in zip(
+                *(x[first].tolist() for x in (a_starts, size_a, b_starts, size_b)))]
+            texts = [x[0] for x in known]
+            widths = np.array([len(x[1]) for x in known], dtype=np.int64)
+            pairs, number = np.unique(np.concatenate([x[1] for x in known]), return_inverse=True)
+            often = np.concatenate([x[2] for x in known])
+            # the alignment of each different window, and with it of each document
+            stops = np.append(opens[1:], len(group))
+            whole = [";".join(map(texts.__getitem__, group[i:j].tolist()))
+                     for i, j in zip(opens[model].tolist(), stops[model].tolist())]
+            doc_of_group = np.searchsorted(np.cumsum(n_a), a_starts, side="right")
+            edges = np.searchsorted(doc_of_group[opens], np.append(spoken, n)).tolist()
+            for d, i, j in zip(spoken.tolist(), edges, edges[1:]):
+                said = ";".join(map(whole.__getitem__, window[i:j].tolist()))
+                digests[d] = hashlib.sha256(said.encode()).hexdigest()
+            n_groups = np.bincount(doc_of_group, minlength=n)
+            n_links = np.bincount(doc_of_group, weights=size_a * size_b, minlength=n).astype(np.int64)
+            # every pair of every document once, with how often it is linked there
+            width = widths[group]
+            item = np.repeat((np.cumsum(widths) - widths)[group], width) + places(width)
+            key = np.repeat(doc_of_group, width) * len(pairs) + number[item]
+            held, back = np.unique(key, return_inverse=True)
+            times = np.bincount(back, weights=often[item]).astype(np.int64)
+        owner, held = np.divmod(held, max(1, len(pairs)))
         cuts = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
 
         def lists(values: np.ndarray) -> pa.ListArray:
             return pa.ListArray.from_arrays(pa.array(cuts), pa.array(values.astype(np.int32)))
-
-        def total(values: np.ndarray) -> np.ndarray:
-            return np.bincount(doc, weights=values, minlength=n).astype(np.int64)
-        ids, n_a, n_b, digests = zip(*self.docs)
         yield batch(n, block, 0, doc_id=ids, n_a=n_a, n_b=n_b, groups_sha256=digests,
-                    n_groups=total(whole(memory.groups)[windows]), n_links=total(links),
-                    pairs=lists(place[number]), times=lists(times))
-        known = np.array(list(memory.linked), dtype=np.int64).reshape(-1, 2)[here]
-        for at in range(0, len(here), 1 << 16):
-            some = slice(at, min(len(here), at + (1 << 16)))
-            yield batch(some.stop - at, block, 1, pair=np.arange(at, some.stop), a=known[some, 0],
-                        b=known[some, 1], docs=docs[here[some]])
+                    n_groups=n_groups, n_links=n_links, pairs=lists(held), times=lists(times))
+        docs = np.bincount(held, minlength=len(pairs))
+        for at in range(0, len(pairs), 1 << 16):
+            some = slice(at, min(len(pairs), at + (1 << 16)))
+            yield batch(some.stop - at, block, 1, pair=np.arange(at, some.stop), a=pairs[some] >> 32,
+                        b=pairs[some] & 0xFFFFFFFF, docs=docs[some])
         self.clear()
 
 

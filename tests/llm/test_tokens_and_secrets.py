@@ -81,11 +81,21 @@ def plain_alignment(texts):
              if r["groups"] else "") for r in out]
 
 
-@pytest.mark.parametrize("block_rows,remember", [(4096, 1 << 18), (7, 3)])
-def test_alignment(spark, monkeypatch, block_rows, remember):
+def test_runs_are_numbered_by_their_values():
+    draw = np.random.default_rng(1)
+    sizes = draw.integers(1, 4, 500)
+    starts = np.cumsum(sizes) - sizes
+    one, two = draw.integers(0, 3, sizes.sum()), draw.integers(0, 2, 500)
+    number, first = alignment.numbered([(one, starts), (two, np.arange(500))])
+    runs = [(tuple(one[s:s + n]), t) for s, n, t in zip(starts, sizes, two)]
+    assert [runs[f] for f in first[number]] == runs
+    assert len(set(runs)) == len(first)
+
+
+@pytest.mark.parametrize("block_rows,tokens", [(4096, 1 << 22), (7, 1 << 22), (4096, 50)])
+def test_alignment(spark, monkeypatch, block_rows, tokens):
     monkeypatch.setattr(alignment, "BLOCK_ROWS", block_rows)
-    monkeypatch.setattr(alignment, "REMEMBER", remember)
-    monkeypatch.setattr(alignment, "LONG_WINDOW", 256 if remember > 3 else 2)
+    monkeypatch.setattr(alignment, "BLOCK_TOKENS", tokens)
     draw = random.Random(4)
     words = ["the", "then", "there", "é", "漢", "in", "ing", "\n", "  ", "x1", ".", "Reoush", "🤖"]
     texts = TEXTS + ["".join(draw.choice(words) + draw.choice(["", " "])
