@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import load, query
-from inquest.operators import (changepoints, contribution, drift, drivers, joining, stattests,
+from inquest.operators import (changepoints, contribution, drift, drivers, driversearch, joining, stattests,
                                summaries)
 
 CONTRIBUTION = """
@@ -57,6 +57,51 @@ def period_contribution_many_groups(spark, sf):
                                             "l_suppkey", "2000-01-01").select(*COLUMNS)
 
 
+SEARCHED = ["l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus"]
+PLANTED = {"driver_search": ("l_suppkey = 7", 40), "driver_search_pair":
+           ("l_returnflag = 'R' AND l_linenumber = 2", 9)}
+
+
+def search_sql(case, factor, split="1996-01-01"):
+    """Every value and every pair of values, counted outright."""
+    late, n = f"ts >= DATE '{split}'", len(SEARCHED)
+    sets = [f"SELECT 1 AS level, '{d}' AS dimensions, d{i} AS groups, sum(c) AS c, sum(p) AS p FROM r GROUP BY d{i}"
+            for i, d in enumerate(SEARCHED)]
+    sets += [f"SELECT 2, '{SEARCHED[i]} × {SEARCHED[k]}', d{i} || ' × ' || d{k}, sum(c), sum(p) FROM r GROUP BY d{i}, d{k}"
+             for i in range(n) for k in range(i + 1, n)]
+    return f"""WITH t AS (SELECT l_shipdate AS ts, l_extendedprice * CASE WHEN {case} AND
+         l_shipdate >= DATE '{split}' THEN {factor} ELSE 1 END AS m,
+         {", ".join(f"{d}::VARCHAR AS d{i}" for i, d in enumerate(SEARCHED))} FROM lineitem),
+       s AS (SELECT count(DISTINCT date_trunc('month', ts)) FILTER ({late}) AS late,
+                    count(DISTINCT date_trunc('month', ts)) FILTER (NOT {late}) AS early FROM t),
+       r AS (SELECT t.*, CASE WHEN {late} THEN m / late ELSE -m / early END AS c,
+                    CASE WHEN {late} THEN 0 ELSE m / early END AS p FROM t, s),
+       w AS (SELECT sum(c) AS wc, sum(p) AS wp FROM r), g AS ({" UNION ALL ".join(sets)})
+       SELECT level, dimensions, groups, round(p, 2) AS previous_per_period,
+         round(p + c, 2) AS current_per_period, round(c, 2) AS change, round(c / wc * 100, 2) AS share_pct,
+         round(p / wp * 100, 2) AS base_pct, round(c / wc * 100 - p / wp * 100, 2) AS lift
+       FROM g, w WHERE c / wc * 100 >= 20"""
+
+
+def _planted(spark, sf, name):
+    case, factor = PLANTED[name]
+    rows = load(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") * F.when(
+        F.expr(case) & (F.col("l_shipdate") >= F.lit("1996-01-01").cast("date")), factor).otherwise(1))
+    return driversearch.driver_search(rows, "l_shipdate", "price", SEARCHED, "1996-01-01")
+
+
+@query(search_sql(*PLANTED["driver_search"]))
+def driver_search(spark, sf):
+    """One supplier of thousands sells more: found among all columns and pairs."""
+    return _planted(spark, sf, "driver_search")
+
+
+@query(search_sql(*PLANTED["driver_search_pair"]))
+def driver_search_pair(spark, sf):
+    """One line number of one return flag grows: the pair stands first."""
+    return _planted(spark, sf, "driver_search_pair")
+
+
 STEP = """
   m AS (SELECT date_trunc('month', {date})::DATE AS p, sum({metric}) AS v FROM {table} GROUP BY 1),
   s AS (SELECT unnest(generate_series((SELECT min(p) FROM m), (SELECT max(p) FROM m), INTERVAL 1 MONTH))::DATE AS p),

@@ -219,9 +219,11 @@ def contingency(spark, sf):
 
 
 @query("""SELECT CASE WHEN grouping(l_returnflag) = 0 THEN 'l_returnflag'
-                      WHEN grouping(l_linestatus) = 0 THEN 'l_linestatus' END AS dimension,
-          coalesce(l_returnflag, l_linestatus) AS "group", round(sum(l_extendedprice), 2) AS value
-          FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus))""")
+                      WHEN grouping(l_linestatus) = 0 THEN 'l_linestatus'
+                      WHEN grouping(l_shipdate) = 0 THEN 'l_shipdate' END AS dimension,
+          coalesce(l_returnflag, l_linestatus, l_shipdate::VARCHAR) AS "group",
+          round(sum(l_extendedprice), 2) AS value
+          FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_shipdate))""")
 def metric_snapshot(spark, sf):
     out = summaries.metric_snapshot(load(spark, sf, "lineitem"), "l_extendedprice",
                                     ["l_returnflag", "l_linestatus", "l_shipdate"])

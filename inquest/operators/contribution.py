@@ -34,7 +34,8 @@ class Split:
         return str(self.cutoff.date())
 
 
-def _dated(df: DataFrame, date: str, *others: str) -> DataFrame:
+def dated_rows(df: DataFrame, date: str, *others: str) -> DataFrame:
+    """``ts`` and other columns of the rows whose date can be read."""
     require_columns(df, date, *others)
     return (df.select(parsed_column(df, date).alias("ts"),
                       *[F.col(f"`{c}`") for c in dict.fromkeys(others)])
@@ -43,7 +44,7 @@ def _dated(df: DataFrame, date: str, *others: str) -> DataFrame:
 
 def date_quantile(df: DataFrame, date: str, q: float = FALLBACK_QUANTILE) -> dt.datetime:
     """The moment below which the share ``q`` of the rows lies."""
-    micros = _dated(df, date).select(F.unix_micros("ts").alias("micros"))
+    micros = dated_rows(df, date).select(F.unix_micros("ts").alias("micros"))
     value = quantile_values(micros, ["micros"], [q])["micros"][0]
     return dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=round(value))
 
@@ -51,7 +52,7 @@ def date_quantile(df: DataFrame, date: str, q: float = FALLBACK_QUANTILE) -> dt.
 def resolve_split(df: DataFrame, date: str, metric: str,
                   split: str | dt.datetime | None = None) -> Split:
     """Use the given date, else a detected level change, else the last third of the rows."""
-    rows = _dated(df, date, metric)
+    rows = dated_rows(df, date, metric)
     method, strength = "supplied", None
     if split is None:
         monthly = (rows.groupBy(F.trunc("ts", "month").alias("period"))
@@ -80,7 +81,7 @@ def resolve_split(df: DataFrame, date: str, metric: str,
 def period_sums(df: DataFrame, date: str, metric: str, dimensions: list[str],
                 split: Split) -> DataFrame:
     """``dimension``, ``group``, and the metric's sum on either side; no missing labels."""
-    rows = _dated(df, date, metric, *dimensions)
+    rows = dated_rows(df, date, metric, *dimensions)
     late = F.col("ts") >= F.lit(split.cutoff.isoformat(" ")).cast("timestamp")
     marked = rows.select(late.alias("late"), F.col(f"`{metric}`").cast("double").alias("m"),
                          *[F.col(f"`{d}`") for d in dict.fromkeys(dimensions)])
@@ -174,7 +175,7 @@ def seasonal_check(df: DataFrame, date: str, metric: str, by: str | list[str], c
     ``only`` names the one group of each column that matters.
     """
     dimensions = [by] if isinstance(by, str) else list(by)
-    cells = long_form(_dated(df, date, metric, *dimensions), dimensions, "string", ["ts", metric],
+    cells = long_form(dated_rows(df, date, metric, *dimensions), dimensions, "string", ["ts", metric],
                       "dimension", "group").where("`group` IS NOT NULL")
     if only:
         chosen = F.lit(False)
@@ -288,7 +289,7 @@ def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list
     """
     dimensions = [by] if isinstance(by, str) else list(by)
     late = F.col("ts") >= F.lit(split.cutoff.isoformat(" ")).cast("timestamp")
-    rows = (_dated(df, date, metric, *dimensions).where(F.col(f"`{metric}`").isNotNull())
+    rows = (dated_rows(df, date, metric, *dimensions).where(F.col(f"`{metric}`").isNotNull())
             .select(late.alias("late"), F.col(f"`{metric}`").cast("double").alias("m"),
                     F.trunc("ts", "month").alias("month"), *[F.col(f"`{d}`") for d in dimensions]))
     spans = {r["late"]: r for r in rows.groupBy("late").agg(
@@ -331,7 +332,7 @@ def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list
 
 def split_periods(df: DataFrame, date: str) -> DataFrame:
     """Default comparison: the most recent third of the rows against all before it."""
-    dates = _dated(df, date)
+    dates = dated_rows(df, date)
     ends = dates.agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("date").alias("first"),
                      F.max("ts").cast("date").alias("last"))
     cutoff = date_quantile(df, date).date() if dates.limit(10).count() >= 10 else None

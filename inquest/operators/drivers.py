@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inquest.constants import CONFIDENCE_WEIGHT, RECOVERY, URGENCY_WEIGHT
 
 MATERIAL_PCT, CONCENTRATION, COHERENT_PCT = 5, 1.6, 150
+EVEN_PCT = 2               # an even share counts as at least this, however many groups there are
 UNRANKED_UNITS = ("correlation coefficient", "")
 
 
@@ -30,12 +31,13 @@ def driver_tests(contributions: DataFrame) -> DataFrame:
         F.max_by(F.struct(*contributions.columns), -F.col("k_")).alias("top"),
         F.max(F.when(F.col("k_") == 2, F.col("group"))).alias("runner_up")))
     rows = two.select("top.*", "runner_up")
-    share, even = F.col("contribution_to_total_change_pct"), F.lit(100.0) / F.col("groups")
+    share = F.col("contribution_to_total_change_pct")
+    even = F.greatest(F.lit(100.0) / F.col("groups"), F.lit(float(EVEN_PCT)))
     material = F.abs(F.coalesce("total_change_pct", F.lit(0.0))) >= MATERIAL_PCT
     concentrated, coherent = share >= even * CONCENTRATION, share <= COHERENT_PCT
     supported = material & concentrated & coherent
     return rows.select(
-        "*", F.round(even, 1).alias("even_share_pct"), supported.alias("supported"),
+        "*", F.round(F.lit(100.0) / F.col("groups"), 1).alias("even_share_pct"), supported.alias("supported"),
         F.when(supported, F.round(F.least(share / 100, F.lit(0.95)), 2)).otherwise(0.2)
         .alias("confidence"),
         F.when(~material, "the overall movement is too small").when(

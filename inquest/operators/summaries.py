@@ -140,8 +140,8 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def metric_snapshot(df: DataFrame, metric: str, dimensions: list[str]) -> DataFrame:
-    """The metric's total, and its total by each of at most two dimensions, in one pass."""
-    dims = [d for d in dimensions if d in df.columns][:2]
+    """The metric's total, and its total by each of the dimensions, in one pass."""
+    dims = [d for d in dimensions if d in df.columns]
     value = F.coalesce(F.sum(f"`{metric}`"), F.lit(0)).cast("double").alias("value")
     if not dims:
         return df.agg(value).select(F.lit(None).cast("string").alias("dimension"),

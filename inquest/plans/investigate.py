@@ -8,34 +8,40 @@ import json
 from pyspark.sql import DataFrame, Row, functions as F
 
 from inquest.operators import drivers, joining, retrieval, summaries
-from inquest.plans.tools import (Workspace, call_tool, generate_recommendations, index_report,
-                                 verify_findings)
+from inquest.operators.driversearch import driver_search
+from inquest.plans.tools import (RETURNED_SQL_ROWS, Workspace, call_tool, generate_recommendations,
+                                 index_report, verify_findings)
 
 STAGES = ("rag", "evidence_gap", "critic", "verification", "forecast", "recommendations")
-MAX_DIMENSION_VALUES, DIMENSIONS = 50, 3
 
 
 # --- the plan: small tables of one row per column ----------------------------
 
-def rank_dimensions(columns: DataFrame) -> DataFrame:
-    """Categories with at most 50 values: known segments first, then the fewest values."""
+def rank_dimensions(columns: DataFrame, most_values: int | None = None) -> DataFrame:
+    """Categories, known segments first, then the fewest values; ``most_values`` leaves out wider ones."""
     known = F.when(F.col("semantic_label").isin("geography", "product", "customer"), 0).otherwise(1)
-    return (columns.where((F.col("inferred_type") == "categorical")
-                          & (F.col("unique_count") <= MAX_DIMENSION_VALUES))
-            .orderBy(known, "unique_count", "position"))
+    kept = columns.where(F.col("inferred_type") == "categorical")
+    if most_values is not None:
+        kept = kept.where(F.col("unique_count") <= most_values)
+    return kept.orderBy(known, "unique_count", "position")
 
 
-def choose_columns(question: str, columns: DataFrame) -> dict:
-    """Metric, date column and dimensions for a question, from the profile table."""
+def choose_columns(question: str, columns: DataFrame, most_values: int | None = None,
+                   dimensions: int | None = None) -> dict:
+    """Metric, date column and dimensions for a question, from the profile table.
+
+    Every category is a dimension unless the caller limits their values or number.
+    """
     asked = F.contains(F.lit(question.lower()), F.lower("column"))
     metric = (columns.where(F.col("inferred_type") == "numeric").orderBy(
         F.when(asked, 0).when(F.col("semantic_label") == "measure", 1).otherwise(2), "position")
         .limit(1).collect())
     kinds = {k: [r["column"] for r in columns.where(F.col("inferred_type") == k)
                  .orderBy("position").collect()] for k in ("numeric", "datetime", "categorical")}
+    ranked = [r["column"] for r in rank_dimensions(columns, most_values).collect()]
     return {"metric": metric[0]["column"] if metric else None,
             "date": kinds["datetime"][0] if kinds["datetime"] else None,
-            "dimensions": [r["column"] for r in rank_dimensions(columns).limit(DIMENSIONS).collect()],
+            "dimensions": ranked[:dimensions],
             "numeric": kinds["numeric"], "categorical": kinds["categorical"]}
 
 
@@ -57,11 +63,11 @@ def propose_hypotheses(plan: dict) -> list[dict]:
 
 
 def top_up(existing: list[dict], plan: dict, available: list[str]) -> list[dict]:
-    """At most four more hypotheses, about columns none of the existing ones covers."""
+    """More hypotheses, about columns none of the existing ones covers."""
     covered = {c for h in existing for c in h["columns"]}
     fresh = set(available) - covered
     said = {h["statement"] for h in existing}
-    more = [h for h in propose_hypotheses(plan) if fresh & set(h["columns"])][:4]
+    more = [h for h in propose_hypotheses(plan) if fresh & set(h["columns"])]
     return [h for h in more if h["statement"] not in said]
 
 
@@ -86,7 +92,8 @@ def _test_dimensions(ws: Workspace, inv: str, dataset: dict, plan: dict, hyps: l
     dims, metric = [h["columns"][0] for h in hyps], plan["metric"]
     result, run = call_tool(ws, "run_dataframe_code", dataset | {
         "operation": "period_contribution",
-        "params": {"date_column": plan["date"], "metric": metric, "by": dims}}, inv, "analysis")
+        "params": {"date_column": plan["date"], "metric": metric, "by": dims,
+                   "top": max(2, RETURNED_SQL_ROWS // len(dims))}}, inv, "analysis")
     if run["status"] != "success" or not result["rows"]:
         for h in hyps:
             h |= {"status": "unresolved", "reasoning": result.get("error", "no groups")}
@@ -138,10 +145,20 @@ CONTRIBUTION_SCHEMA = ("dimension string, `group` string, previous_per_period do
 
 def _refine(ws: Workspace, inv: str, dataset: dict, plan: dict, primary: str, split: str,
             parent: dict) -> None:
-    """Narrow the first driver to a pair of columns, once per investigation."""
+    """Narrow the first driver to a pair of columns, once per investigation.
+
+    Of several other columns, the one is taken whose pair with the leading value the search over
+    all pairs puts first.
+    """
     others = [d for d in plan["dimensions"] if d != primary]
     if not others or plan.get("refined"):
         return
+    if len(others) > 1:
+        pairs = driver_search(ws.table(**dataset), plan["date"], plan["metric"], plan["dimensions"], split)
+        named = pairs.where((F.col("level") == 2) & F.array_contains(F.split("dimensions", " × "), primary))
+        best = named.orderBy(F.desc("lift"), "dimensions", "groups").limit(1).collect()
+        if best:
+            others = [d for d in best[0]["dimensions"].split(" × ") if d != primary]
     result, run = call_tool(ws, "run_dataframe_code", dataset | {
         "operation": "interaction_contribution",
         "params": {"date_column": plan["date"], "metric": plan["metric"],

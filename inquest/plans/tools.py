@@ -12,7 +12,7 @@ from pathlib import PurePosixPath
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from inquest.constants import DOCUMENT_SUFFIXES, RETURNED_SQL_ROWS, TABULAR_SUFFIXES
 from inquest.operators import (cleaning, contribution, drift, drivers, forecasting, pages, profiling,
@@ -167,6 +167,12 @@ def _contribution(df: DataFrame, p: dict) -> dict:
     dims = [p["by"]] if isinstance(p["by"], str) else list(p["by"])
     split = contribution.resolve_split(df, date, metric, p.get("split"))
     table = contribution.period_contribution(df, date, metric, dims, split)
+    if p.get("top"):                       # each column's leading groups, however many it has
+        order = Window.partitionBy("dimension").orderBy(
+            F.desc("contribution_to_total_change_pct"), "group")
+        table = table.withColumn("place_", F.row_number().over(order)).where(
+            F.col("place_") <= int(p["top"])).drop("place_").orderBy(
+            "dimension", F.desc("contribution_to_total_change_pct"), "group")
     if p.get("intervals", True):
         bands = contribution.contribution_intervals(df, date, metric, dims, split)
         table = table.join(bands.select("dimension", "group", "low", "high"),

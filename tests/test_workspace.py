@@ -194,10 +194,26 @@ def test_refined_pair_leads(ws, spark):
     assert out["findings"][0]["statement"].startswith("Within ") and "Widget" in out["findings"][0]["statement"]
 
 
+def test_investigation_names_one_store_of_many_and_its_pair(ws, spark):
+    days = F.explode(F.expr("sequence(date'2023-01-01', date'2024-12-01', interval 1 month)"))
+    sales = spark.range(1500).select(F.concat(F.lit("store "), "id").alias("store"), F.pmod("id", F.lit(5)).alias("k"),
+                                     days.alias("date"))
+    sales = sales.select("date", "store", F.concat(F.lit("area "), "k").alias("area"),
+                         F.explode(F.array(*map(F.lit, ("web", "shop", "phone")))).alias("channel"))
+    fell = (F.col("store") == "store 42") & (F.col("channel") == "shop") & (F.col("date") >= "2024-07-01")
+    held = F.when(F.col("store") == "store 42", 40000.0).otherwise(100.0) + F.pmod(F.xxhash64("store", "date"), F.lit(9))
+    ws.versions.write(sales.withColumn("revenue", F.when(fell, held * 0.1).otherwise(held)), "sales")
+    out = investigate(ws, "Why did revenue decline?", "sales", stages=("verification",))
+    said = [f["statement"] for f in out["findings"]]
+    assert any(s.startswith("store = 'store 42' contributed") for s in said), said
+    assert any(s.startswith("Within ") and "shop" in s and "store 42" in s for s in said), said
+
+
 def test_column_choice(spark):
     rows = [(0, "date", "datetime", "date", 9), (1, "units", "numeric", None, 99), (2, "revenue", "numeric", "measure", 99),
             (3, "channel", "categorical", None, 2), (4, "region", "categorical", "geography", 4), (5, "city", "categorical", "geography", 90)]
     cols = spark.createDataFrame(rows, "position int, `column` string, inferred_type string, semantic_label string, unique_count long")
-    plan = choose_columns("why did units fall?", cols)
+    plan = choose_columns("why did units fall?", cols, most_values=50, dimensions=3)
     assert (plan["metric"], plan["date"], plan["dimensions"]) == ("units", "date", ["region", "channel"])
+    assert choose_columns("why?", cols)["dimensions"] == ["region", "city", "channel"]
     assert choose_columns("why?", cols)["metric"] == "revenue"
