@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from inquest.llm.common import present
 
 MAX_RANKS = 1 << 20       # entries; bounds what is broadcast
-KEEP = 500_000            # pre-tokens a task remembers in each of two generations
+KEEP = 150_000            # pre-tokens a task remembers in each of two generations
 SEED = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
