@@ -85,10 +85,35 @@ def anomaly_scores(spark, sf):
                                     ["l_orderkey", "l_linenumber"])
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT col AS "column", label FROM (
+       SELECT 'type' AS col, lower(p_type) AS label FROM part UNION ALL SELECT 'brand', lower(p_brand) FROM part
+       UNION ALL SELECT 'opening', lower(regexp_extract(text, '^[A-Za-z]+')) FROM documents) WHERE length(label) >= 4),
+     p AS (SELECT row_number() OVER () AS id, a."column", a.label AS a, b.label AS b FROM l a JOIN l b
+       ON a."column" = b."column" AND a.label < b.label AND abs(length(a.label) - length(b.label)) <= 3),
+     c AS (SELECT id, i, j, substr(a, i, 1) = substr(b, j, 1) AS eq FROM (
+       SELECT id, a, b, unnest(range(1, length(a) + 1)) AS i FROM p),
+       LATERAL (SELECT unnest(range(1, length(b) + 1)) AS j)),
+     r AS (SELECT id, i, j, row_number() OVER (PARTITION BY id, j - i, g ORDER BY i) AS run FROM (
+       SELECT *, sum(CASE WHEN eq THEN 0 ELSE 1 END) OVER (PARTITION BY id, j - i ORDER BY i) AS g FROM c) WHERE eq),
+     m AS (
+       SELECT id, 1 AS t, CAST(length(a) AS BIGINT) + 1 AS u, 1::BIGINT AS v,
+              CAST(length(b) AS BIGINT) + 1 AS w, 0::BIGINT AS k FROM p
+       UNION ALL
+       SELECT id, x.t, x.u, x.v, x.w, x.k FROM (
+         SELECT id, unnest([{'t': t, 'u': e.i - e.k + 1, 'v': v, 'w': e.j - e.k + 1, 'k': e.k},
+                            {'t': e.i + 1, 'u': u, 'v': e.j + 1, 'w': w, 'k': 0}]) AS x FROM (
+           SELECT m.id, t, u, v, w, arg_max({'i': i, 'j': j, 'k': least(run, i - t + 1, j - v + 1)},
+                    least(run, i - t + 1, j - v + 1) * 1000000 - (i * 1000 + j)) AS e
+           FROM m JOIN r ON r.id = m.id AND i >= t AND i < u AND j >= v AND j < w
+           GROUP BY m.id, t, u, v, w)))
+   SELECT "column", a AS label, b AS other, 2.0 * n / (length(a) + length(b)) AS ratio
+   FROM p JOIN (SELECT id, sum(k) AS n FROM m GROUP BY id) USING (id)
+   WHERE 2.0 * n / (length(a) + length(b)) >= 0.8""")
 def similar_labels(spark, sf):
-    rows = load(spark, sf, "part").select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand"))
-    return profiling.similar_labels(rows, ["type", "brand"])
+    part, docs = load(spark, sf, "part"), load(spark, sf, "documents")
+    rows = part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand")).unionByName(
+        docs.select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("opening")), allowMissingColumns=True)
+    return profiling.similar_labels(rows, ["type", "brand", "opening"])
 
 
 @query("""SELECT 'ts' AS "column", count(*) AS steps FROM (

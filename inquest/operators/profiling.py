@@ -17,8 +17,9 @@ from inquest.functions.quantiles import quantile_values
 from inquest.functions.strings import collapsed, similarity, strip
 from inquest.functions.tables import is_numeric, is_time, long_form, spread
 from inquest.operators.anomalies import anomalous_rows, outlier_counts
+from inquest.session import cut_lineage
 
-MAX_LABELS, MIN_LABEL_CHARS, MAX_LENGTH_GAP, MIN_RATIO = 60, 4, 3, 0.8
+MIN_LABEL_CHARS, MAX_LENGTH_GAP, MIN_RATIO = 4, 3, 0.8
 ORDER_BLOCK = 1_000_000
 
 
@@ -150,26 +151,53 @@ def column_facts(df: DataFrame, now: dt.datetime | None = None) -> dict[str, Col
     return facts
 
 
+def _numbered(items: Column) -> Column:
+    """Each item with how often it came before, so that equal sets mean equal multisets."""
+    return F.transform(items, lambda x, i: F.concat(x, F.lit("\u0000"), F.size(
+        F.filter(F.slice(items, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
 def similar_labels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of labels that look like typing variants of each other.
+    """Pairs of labels that look like typing variants of each other, all of a column's labels compared.
 
-    The smallest 60 labels of a column, in order, are compared, as pairs whose lengths
-    are close and not short.
+    Labels of at least four characters whose lengths are close, at a matching-blocks ratio of 0.8.
+    Of two lengths that sum to ``s``, at least ``2 s / 5`` characters match; each gap between blocks
+    holds an unmatched one, so at least ``(s - 1) / 5`` pairs of neighbouring characters are shared, never
+    none. Two labels that share so many share one of the rarest of each (prefix filter), where they
+    meet; shared neighbours and characters are counted before the ratio is worked out.
     """
+    size = F.length("label")
     labels = (long_form(df, columns, "string").where("value IS NOT NULL")
-              .select("column", collapsed(F.col("value")).alias("label")).distinct())
-    rank = Window.partitionBy("column").orderBy("label")
-    few = (labels.withColumn("rn", F.row_number().over(rank))
-           .where(F.col("rn") <= MAX_LABELS))
-    a, b = few.alias("a"), few.alias("b")
-    gap = F.abs(F.length("a.label") - F.length("b.label"))
-    shortest = F.least(F.length("a.label"), F.length("b.label"))
-    pairs = a.join(b, (F.col("a.column") == F.col("b.column")) & (F.col("a.rn") < F.col("b.rn"))
-                   & (gap <= MAX_LENGTH_GAP) & (shortest >= MIN_LABEL_CHARS))
-    return (pairs.select(F.col("a.column").alias("column"), F.col("a.label").alias("label"),
-                         F.col("b.label").alias("other"),
-                         similarity(F.col("a.label"), F.col("b.label")).alias("ratio"))
-            .where(F.col("ratio") >= MIN_RATIO))
+              .select("column", collapsed(F.col("value")).alias("label")).distinct()
+              .where(size >= MIN_LABEL_CHARS))
+    letters = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring("label", i, F.lit(1)))
+    grams = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring("label", i, F.lit(2)))
+    known = cut_lineage(labels.select("column", "label", size.alias("size"),
+                                      _numbered(letters).alias("letters"), _numbered(grams).alias("grams"))
+                        .withColumn("id", F.monotonically_increasing_id()))
+    each = known.select("column", "id", "size", F.explode("grams").alias("gram"))
+    counts = each.groupBy("column", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # the fewest shared neighbours that a partner can have is with the shortest one
+    shortest = F.greatest(F.col("size") - MAX_LENGTH_GAP, F.lit(MIN_LABEL_CHARS))
+    fewest = F.greatest(F.lit(1), F.floor((F.col("size") + shortest - 1) / 5)).cast("int")
+    rare = (each.join(counts, ["column", "gram"]).groupBy("column", "id", "size")
+            .agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("g"))
+            .select("column", "id", "size", F.explode(F.slice("g", F.lit(1), F.col("size") - fewest)).alias("g"))
+            .select("column", "id", "size", "g.gram"))
+    a, b = rare.alias("a"), rare.alias("b")
+    met = a.join(b, (F.col("a.column") == F.col("b.column")) & (F.col("a.gram") == F.col("b.gram"))
+                 & (F.col("a.id") < F.col("b.id"))
+                 & (F.abs(F.col("a.size") - F.col("b.size")) <= MAX_LENGTH_GAP)).select(
+        F.col("a.id").alias("id"), F.col("b.id").alias("jd")).distinct()
+    one = known.select("id", "column", *[F.col(c).alias(f"{c}_a") for c in ("label", "letters", "grams")])
+    two = known.select(F.col("id").alias("jd"), *[F.col(c).alias(f"{c}_b") for c in ("label", "letters", "grams")])
+    both = F.length("label_a") + F.length("label_b")
+    near = met.join(one, "id").join(two, "jd").where(
+        (F.size(F.array_intersect("grams_a", "grams_b")) >= F.greatest(F.lit(1), F.floor((both - 1) / 5)))
+        & (5 * F.size(F.array_intersect("letters_a", "letters_b")) >= 2 * both))
+    return (near.select("column", F.least("label_a", "label_b").alias("label"),
+                        F.greatest("label_a", "label_b").alias("other"))
+            .select("*", similarity("label", "other").alias("ratio")).where(F.col("ratio") >= MIN_RATIO))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -217,6 +217,40 @@ def test_scrubbing_by_a_million_values(spark):
     assert got == {1: "to [REDACTED] and Person-1000000@x", 2: "[REDACTED]."}
 
 
+def test_matching_blocks_ratio():
+    import difflib
+    from inquest.functions.strings import matched
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice(list("abcd\U0001f916"), rng.integers(1, 14))) for _ in "ab")
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        assert matched(a, b) == sum(x.size for x in m.get_matching_blocks()), (a, b)
+    assert matched("", "abc") == 0
+
+
+def test_similar_labels_of_a_wide_column(spark):
+    import difflib
+    rng = np.random.default_rng(4)
+    labels = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 11))) for _ in range(4600)]
+    for s in labels[:400]:                                   # typing slips
+        k = int(rng.integers(0, len(s)))
+        labels.append(s[:k] + s[k + 1:] if rng.random() < 0.5 else s[:k] + "x" + s[k:])
+    labels = sorted(set(labels))
+    counts = np.array([[s.count(c) for c in "abcdefghijx"] for s in labels], dtype=np.int16)
+    size, want = counts.sum(1), {}
+    for i in range(len(labels)):
+        common = np.minimum(counts[i], counts[i + 1:]).sum(1)
+        both = size[i] + size[i + 1:]
+        for j in np.nonzero((5 * common >= 2 * both) & (np.abs(size[i] - size[i + 1:]) <= 3)
+                            & (np.minimum(size[i], size[i + 1:]) >= 4))[0] + i + 1:
+            ratio = difflib.SequenceMatcher(None, labels[i], labels[j], autojunk=False).ratio()
+            if ratio >= 0.8:
+                want[labels[i], labels[j]] = ratio
+    df = spark.createDataFrame([(s, "one") for s in labels] + [(None, None)], "c string, d string")
+    got = {(r.label, r.other): r.ratio for r in profiling.similar_labels(df, ["c", "d"]).collect()}
+    assert got == want and len(want) > 500
+
+
 def test_scores(spark):
     def pairs(x):
         return spark.createDataFrame(x, "`column` string, issue string")
