@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from inquest.llm.common import present, shared_folder
 
-BLOCK_ROWS, BLOCK_TOKENS = 4096, 1 << 21   # a block of documents ends at either of these
-ONE = np.ones(1, dtype=np.int64)
+BLOCK_ROWS, BLOCK_TOKENS = 4096, 3 << 20   # a block of documents ends at either of these
 MARK = "▁"
 # Fixed value: how byte-level files split a text before merging.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,10 +166,11 @@ class Block:
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
         """A group as text, its different id pairs, and how often each is linked."""
-        name = self.names.__getitem__
-        text = ",".join(map(name, a.tolist())) + "|" + ",".join(map(name, b.tolist()))
-        if len(a) == 1 and len(b) == 1:
-            return text, (a.astype(np.int64) << 32 | b), ONE
+        left, right, name = a.tolist(), b.tolist(), self.names.__getitem__
+        text = ",".join(map(name, left)) + "|" + ",".join(map(name, right))
+        if len(left) * len(right) <= 64 and len(set(left)) == len(left) and len(set(right)) == len(right):
+            pairs = np.array([x << 32 | y for x in left for y in right])
+            return text, pairs, np.ones(len(pairs), dtype=np.int64)
         x, n_x = np.unique(a, return_counts=True)
         y, n_y = np.unique(b, return_counts=True)
         return (text, (x.astype(np.int64)[:, None] << 32 | y[None, :]).ravel(),
