@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import html as entities
-from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from inquest.constants import (MAX_SITE_DEPTH, MAX_SITE_PAGES, MIN_PAGE_CHARS, SKIP_LINKS)
 from inquest.functions.strings import strip
-from inquest.functions.tables import broadcast_if_small
 from inquest.session import cut_lineage
 
 HIDDEN = r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>"
@@ -18,6 +16,7 @@ TAG = r"<[a-zA-Z/!?][^>]*>"
 HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 MARK = "\u0001"
+ROOT = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*"
 
 
 @F.pandas_udf(T.StringType())
@@ -26,16 +25,29 @@ def decoded(text: pd.Series) -> pd.Series:
     return text.map(lambda t: entities.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
-@F.pandas_udf(T.StringType())
-def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
-    """A link relative to its page, without fragment and closing slash."""
-    def one(b: str, h: str) -> str | None:
-        try:
-            clean = urldefrag(urljoin(b, entities.unescape(h)))[0]
-        except ValueError:
-            return None
-        return clean.rstrip("/") or clean
-    return pd.Series([one(b, h) for b, h in zip(base, href)], dtype="object")
+def resolved(base: Column, href: Column) -> Column:
+    """A link relative to its page, without fragment and closing slash; null without an address."""
+    root = F.regexp_extract(base, ROOT, 0)
+    scheme = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.-]*:", 0)
+    page = F.regexp_replace(F.substring(base, F.length(root) + 1, F.length(base)), r"[?#].*$", "")
+    link = F.regexp_replace(decoded(href), r"#.*$", "")
+    path, query = F.regexp_replace(link, r"\?.*$", ""), F.regexp_extract(link, r"\?.*$", 0)
+    folder = F.regexp_replace(page, r"[^/]*$", "")
+    parts = F.split(F.when(path.startswith("/"), path).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), path)), "/")
+    last = F.element_at(parts, -1)
+    steps = F.concat(parts, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>")))
+    # "." stays where it is, ".." goes one up, but never above the root
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda out, part: F.when(
+        part == ".", out).when(part == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1))
+                               .otherwise(out)).otherwise(F.concat(out, F.array(part))))
+    joined = F.concat(root, F.array_join(kept, "/"), query)
+    whole = (F.when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
+             .when(link.startswith("//"), F.concat(scheme, link))
+             .when(link == "", F.regexp_replace(base, r"#.*$", ""))
+             .when(path == "", F.concat(root, page, query)).otherwise(joined))
+    return F.when(root != "", F.coalesce(F.nullif(F.rtrim(whole, F.lit("/")), F.lit("")), whole))
 
 
 def visible_markup(html: Column) -> Column:
@@ -102,46 +114,85 @@ def followable(target: Column, start: Column) -> Column:
     return ~target.rlike(SKIP_LINKS) & (site_of(target) == site_of(start))
 
 
-def reachable_pages(pages: DataFrame, start_url: str, max_pages: int = MAX_SITE_PAGES,
-                    max_depth: int = MAX_SITE_DEPTH, url: str = "url",
-                    html: str = "html") -> DataFrame:
-    """Stored pages of one site in the order a breadth-first walk meets them.
+def page_graph(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Readable pages (``url, title, characters``) and the links a walk may follow, both stored.
 
-    Each level is a join of the frontier with the page table, an anti join with the
-    addresses already met, and one ``distinct``; the walk stops after ``max_pages`` pages
-    with text. Pages too short to read are met but neither counted nor followed.
+    The markup is read where it lies; only addresses and titles leave a task. Of pages stored
+    under one address one readable one counts.
+    """
+    address = without_fragment(F.col(url))
+    text = page_text(F.col(html))
+    read = pages.select(address.alias("url"), F.xxhash64(html).alias("mark"), F.col(html).alias("html"),
+                        F.length(text).alias("characters"),
+                        F.coalesce(page_title(F.col(html)), title_from_url(address)).alias("title"))
+    read = read.where(F.col("characters") >= MIN_PAGE_CHARS)
+    nodes = cut_lineage(read.groupBy("url").agg(F.min(F.struct("mark", "title", "characters")).alias("p"))
+                        .select("url", "p.*"))
+    links = page_links(read.select("url", "html", "mark"), "url", "html", ["mark"])
+    inside = links.where(followable(F.col("dst_url"), F.col("src_url"))).groupBy(
+        "src_url", "mark", "dst_url").agg(F.min("position").alias("position"))
+    chosen = inside.join(nodes.select(F.col("url").alias("src_url"), "mark"), ["src_url", "mark"])
+    edges = cut_lineage(chosen.join(nodes.select(F.col("url").alias("dst_url")), "dst_url").select(
+        "src_url", "dst_url", "position"))
+    return nodes.drop("mark"), edges
+
+
+def numbered_visits(level: DataFrame, counts: DataFrame) -> DataFrame:
+    """``visit`` after ``counts`` (``start, n``) earlier ones of each walk, by parent and position.
+
+    Rows are dealt by ranges; only how many rows of a walk each range holds is put together.
     """
+    order = ["start", "parent", "position", "url"]
+    dealt = cut_lineage(level.repartitionByRange(*order).sortWithinPartitions(*order)
+                        .withColumn("range", F.spark_partition_id())
+                        .withColumn("place", F.monotonically_increasing_id()))
+    held = dealt.groupBy("start", "range").agg(F.count(F.lit(1)).alias("here"), F.min("place").alias("first"))
+    before = Window.partitionBy("start").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = held.select("start", "range", "first", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
+    at = F.col("place") - F.col("first") + F.col("before") + F.coalesce("n", F.lit(0)) + 1
+    return (dealt.join(offset, ["start", "range"]).join(counts, "start", "left")
+            .select(*level.columns, at.cast("int").alias("visit")))
+
+
+def walk_sites(graph: tuple[DataFrame, DataFrame], starts: DataFrame, max_pages: int | None = None,
+               max_depth: int | None = None) -> DataFrame:
+    """``start, visit, depth, url, title, characters``: breadth-first walks from each of ``starts``.
+
+    A level is one message along every link that leaves the last one; of several, a page takes the
+    one from the page visited first, then of the first link. Pages too short to read are neither
+    counted nor followed. Without limits a walk ends where no new page is met.
+    """
+    nodes, edges = graph
+    first = starts.select(F.col("url").alias("start"), without_fragment(F.col("url")).alias("url")).distinct()
+    level = first.join(nodes.select("url"), "url").select(
+        "start", "url", F.lit(0).alias("parent"), F.lit(0).alias("position"))
+    counts = first.select("start", F.lit(0).cast("long").alias("n"))
+    found, depth = None, 0
+    while True:
+        visits = numbered_visits(level, counts).withColumn("depth", F.lit(depth))
+        if max_pages is not None:
+            visits = visits.where(F.col("visit") <= max_pages)
+        visits = cut_lineage(visits.select("start", "url", "visit", "depth"))
+        found = visits if found is None else cut_lineage(found.unionByName(visits))
+        if visits.isEmpty() or depth == max_depth:
+            break
+        counts = found.groupBy("start").agg(F.count(F.lit(1)).alias("n"))
+        sent = visits.join(edges, visits["url"] == edges["src_url"]).groupBy(
+            "start", F.col("dst_url").alias("url")).agg(F.min(F.struct("visit", "position")).alias("at"))
+        level = sent.join(found.select("start", "url"), ["start", "url"], "left_anti").select(
+            "start", "url", F.col("at.visit").alias("parent"), F.col("at.position").alias("position"))
+        depth += 1
+    return found.join(nodes, "url").select("start", "visit", "depth", "url", "title", "characters")
+
+
+def reachable_pages(pages: DataFrame, start_url: str, max_pages: int | None = MAX_SITE_PAGES,
+                    max_depth: int | None = MAX_SITE_DEPTH, url: str = "url",
+                    html: str = "html") -> DataFrame:
+    """Stored pages of one site in the order a breadth-first walk meets them."""
     if not start_url.lower().startswith(("http://", "https://")):
         raise ValueError("The address must start with http:// or https://")
-    max_pages, max_depth = max(1, max_pages), max(0, max_depth)
-    spark = pages.sparkSession
-    stored = pages.select(without_fragment(F.col(url)).alias("url"), F.col(html).alias("html"))
-    first = start_url.split("#")[0].rstrip("/")
-    frontier = spark.createDataFrame([(first, 0, 0)], "url string, parent int, position int")
-    seen, found, count = frontier.select("url"), None, 0
-    for depth in range(max_depth + 1):
-        hits = (stored.join(broadcast_if_small(frontier), "url")
-                .withColumn("text", page_text(F.col("html")))
-                .where(F.length("text") >= MIN_PAGE_CHARS)
-                .groupBy("url", "parent", "position").agg(F.min(F.struct("html", "text")).alias("p"))
-                .select("url", "parent", "position", "p.*"))
-        level = cut_lineage(hits.orderBy("parent", "position", "url").limit(max_pages - count))
-        order = Window.orderBy("parent", "position", "url")  # at most max_pages rows
-        level = level.withColumn("visit", F.row_number().over(order) + count)
-        part = level.select(
-            "visit", F.lit(depth).alias("depth"), "url",
-            F.coalesce(page_title(F.col("html")), title_from_url(F.col("url"))).alias("title"),
-            F.length("text").alias("characters"))
-        found = part if found is None else found.unionByName(part)
-        size = level.count()
-        count += size
-        if count >= max_pages or depth == max_depth or size == 0:
-            break
-        links = page_links(level, "url", "html", ["visit"]).where(
-            followable(F.col("dst_url"), F.lit(start_url)))
-        nearest = links.groupBy(F.col("dst_url").alias("url")).agg(
-            F.min(F.struct("visit", "position")).alias("at"))
-        frontier = cut_lineage(nearest.join(seen, "url", "left_anti").select(
-            "url", F.col("at.visit").alias("parent"), F.col("at.position").alias("position")))
-        seen = seen.union(frontier.select("url"))
-    return found.orderBy("visit")
+    mine = pages.where(site_of(F.col(url)) == site_of(F.lit(start_url)))
+    start = pages.sparkSession.createDataFrame([(start_url,)], "url string")
+    walked = walk_sites(page_graph(mine, url, html), start, None if max_pages is None else max(1, max_pages),
+                        None if max_depth is None else max(0, max_depth))
+    return walked.select("visit", "depth", "url", "title", "characters").orderBy("visit")

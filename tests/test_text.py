@@ -138,6 +138,29 @@ def test_page_text_title_and_links(spark, site):
     assert [r[0] for r in names.select(pages.title_from_url(F.col("u"))).collect()] == ["my first page", "a.com"]
 
 
+def test_links_are_resolved_like_addresses(spark):
+    from urllib.parse import urldefrag, urljoin
+    bases = ["https://a.com", "https://a.com/", "http://a.com/x/y?q=/z#f", "https://a.com/x/y/", "https://a.com?q=1"]
+    hrefs = ["one", "/one/", "./one", "../one", "../../../one", "x/../y", "x/./y/..", "?k=v", "#top", "//b.com/z",
+             "http://b.com/a", "mailto:q@a.com", "a?b=../c", ".", "..", "/", "a;b", "p?x=1&amp;y=2"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string")
+    for r in df.select("b", "h", pages.resolved(F.col("b"), F.col("h")).alias("got")).collect():
+        want = urldefrag(urljoin(r.b, r.h.replace("&amp;", "&")))[0]
+        assert r.got == (want.rstrip("/") or want), r
+    assert df.limit(1).select(pages.resolved(F.lit("no address"), F.col("h")).alias("g")).first().g is None
+
+
+def test_walks_of_several_sites(spark, site):
+    graph = pages.page_graph(site.unionByName(site))
+    starts = spark.createDataFrame([("https://www.a.com",), ("http://b.com",), ("https://nowhere.com",)], "url string")
+    got = {(r.start, r.visit, r.depth, r.url) for r in pages.walk_sites(graph, starts).collect()}
+    assert got == {("https://www.a.com", 1, 0, "https://www.a.com"), ("https://www.a.com", 2, 1, "https://www.a.com/one"),
+                   ("https://www.a.com", 3, 1, "https://a.com/three"), ("https://www.a.com", 4, 2, "https://www.a.com/deep"),
+                   ("https://www.a.com", 5, 3, "https://www.a.com/deeper"), ("https://www.a.com", 6, 4, "https://www.a.com/last"),
+                   ("http://b.com", 1, 0, "http://b.com")}
+    assert pages.walk_sites(pages.page_graph(site.limit(0)), starts).count() == 0
+
+
 def test_site_walk(site):
     got = [(r["depth"], r["url"]) for r in pages.reachable_pages(site, "https://www.a.com/#top").collect()]
     assert got == [(0, "https://www.a.com"), (1, "https://www.a.com/one"), (1, "https://a.com/three"),
