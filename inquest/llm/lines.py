@@ -22,7 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inquest.llm.common import WORD, broadcast_within, cut_lineage, present, spool
+from inquest.llm.common import WORD, broadcast_within, cut_lineage, present, spool, unused
 
 AT = ["o", "h", "line"]                        # a position: document and line
 MANY = 2                                       # 2^MANY lines are substantial by number
@@ -113,32 +113,46 @@ def deletions(lines: DataFrame, min_words: int = 8) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__gone``, the deleted line numbers, and its text without them.
+                    text_col: str = "text", gone_col: str = "__gone",
+                    before_col: str = "__before") -> DataFrame:
+    """``docs`` with ``gone_col``, the deleted line numbers, and its text without them.
 
-    The text before is in ``__before``.
+    The text before is in ``before_col``; neither may be a column of ``docs``.
     """
     lines = spool(numbered_lines(docs, id_col, text_col))
-    gone = spool(deletions(lines, min_words).groupBy("o", "h").agg(
-        F.sort_array(F.collect_list("line")).alias("__gone")))
-    cost = gone.agg(F.max(F.size("__gone"))).first()[0] or 0
-    gone = broadcast_within(gone, 48 + 8 * cost)
-    keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(place(id_col, text_col), "oh")])
-    joined = keyed.join(gone.select(F.col("o").alias("__o"), F.col("h").alias("__h"), "__gone"),
-                        ["__o", "__h"], "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(
-        "__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)
+    found = spool(deletions(lines, min_words).groupBy("o", "h").agg(
+        F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("gone")))
+    cost = found.agg(F.max(F.size("gone"))).first()[0] or 0
+    found = broadcast_within(found, 48 + 8 * cost)
+    o, h = unused(docs, "o"), unused(docs, "h")
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(place(id_col, text_col), (o, h))])
+    joined = keyed.join(found.select(F.col("o").alias(o), F.col("h").alias(h),
+                                     F.col("gone").alias(gone_col)), [o, h], "left")
+    # the kept lines lie between the deleted ones; bound once, so the work is linear
+    split = F.split(F.col(f"`{text_col}`"), "\n")
+    bound = F.struct(split.alias("lines"), F.concat(
+        F.array(F.lit(-1)), F.col(gone_col), F.array(F.size(split))).alias("edges"))
+
+    def kept(s: Column) -> Column:
+        def between(k: Column) -> Column:
+            low, high = F.get(s["edges"], k), F.get(s["edges"], k + 1)
+            return F.slice(s["lines"], low + 2, high - low - 1)
+        return F.array_join(F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(s["edges"]) - 2), between)), "\n")
+    left = F.transform(F.array(bound), kept)[0]
+    before = F.col(f"`{text_col}`")
+    text = F.when(F.col(gone_col).isNull(), before).otherwise(left)
     names = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*names, F.col(text_col).alias("__before"),
-                         F.coalesce("__gone", F.array().cast("array<int>")).alias("__gone"))
+    return joined.select(*names, before.alias(before_col), F.coalesce(
+        gone_col, F.array().cast("array<int>")).alias(gone_col))
 
 
 def deduplicated(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id",
                  text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text."""
-    out = without_repeats(docs, min_words, id_col, text_col)
+    gone, before = unused(docs, "gone"), unused(docs, "before")
+    out = without_repeats(docs, min_words, id_col, text_col, gone, before)
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("__gone") > 0, F.length(text_col))
+        out = out.withColumn(length_col, F.when(F.size(gone) > 0, F.length(f"`{text_col}`"))
                              .otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

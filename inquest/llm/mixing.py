@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inquest.llm.common import WORD, cut_lineage, present, spool
+from inquest.llm.common import WORD, broadcast_within, cut_lineage, present, spool
 
 HASH_BITS, CUT_BITS = 62, 12      # bits of a hash, and those that one histogram resolves
 
@@ -67,7 +67,7 @@ def thresholds(sized: DataFrame, wanted: DataFrame) -> DataFrame:
         fine = max(0, bits - CUT_BITS)
         at = F.shiftright(F.col("u") - F.col("low"), fine)
         inside = (F.col("u") >= F.col("low")) & (F.col("u") - F.col("low") < (1 << bits))
-        cells = (sized.join(state, "skey").filter(inside)
+        cells = (sized.join(broadcast_within(state, 128), "skey").filter(inside)
                  .groupBy("skey", "extra", "low", "below", at.alias("b"))
                  .agg(F.sum("size").alias("n"), F.min("u").alias("first"),
                       F.max("u").alias("last")))
@@ -112,5 +112,5 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     cut = thresholds(sized, plan.filter("source_size > 0").select("skey", "extra"))
     plan = cut_lineage(plan.join(cut, "skey", "left"))
     copies = F.col("base") + F.when(F.col("u") < F.coalesce("threshold", F.lit(0)), 1).otherwise(0)
-    return sized.join(plan, "skey").select("doc_id", "u", "source", "size", "source_size",
+    return sized.join(broadcast_within(plan, 128), "skey").select("doc_id", "u", "source", "size", "source_size",
                                            "target", copies.cast("int").alias("copies"))

@@ -281,3 +281,32 @@ def test_near_copies_with_repeated_ids(spark):
     assert len(empty) == 1
     assert [x for x in got if x[1]] == sorted([(1, long), (2, "another text"), (3, "a third"),
                                                (None, "alone")], key=str)
+
+
+def test_stages_keep_columns_named_like_helpers(spark):
+    import corpus_pipeline
+    rows = [(i, f"own {i}\nthe very same line of eight words comes again here\nend {i}", "s", 40, *range(10))
+            for i in range(6)] + [(9, None, None, None, *range(10)), (9, None, None, None, *range(10))]
+    extra = ("__gone", "__before", "__o", "__h", "gone", "before", "of", "u", "copies", "v")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, "
+                               + ", ".join(f"{c} int" for c in extra))
+    once = corpus_pipeline.drop_repeated_lines(spark, df, "")
+    assert once.columns == df.columns and once.count() == 8
+    kept = {r.doc_id: r.text for r in once.collect()}
+    assert kept[0].count("\n") == 2 and kept[1] == "own 1\nend 1" and kept[9] is None
+    assert {tuple(r)[4:] for r in once.collect()} == {tuple(range(10))}
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns and {tuple(r)[4:] for r in mixed.collect()} == {tuple(range(10))}
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.mix_sources):
+        assert stage(spark, df.limit(0), "").count() == 0
+
+
+def test_many_deleted_lines_take_linear_time(spark):
+    import time
+    shared = [f"shared line number {i} of more than eight words in all" for i in range(20000)]
+    df = spark.createDataFrame([(1, "\n".join(shared)), (2, "first\n" + "\n".join(shared) + "\nlast")],
+                               "doc_id long, text string")
+    begun = time.time()
+    assert {r.doc_id: r.text for r in lines.deduplicated(df).collect()} == {
+        1: "\n".join(shared), 2: "first\nlast"}
+    assert time.time() - begun < 120
