@@ -38,8 +38,9 @@ def scratch(spark: SparkSession) -> str:
 
 
 def dirty_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Every order, with the defects a cleaning run has to find."""
+    """Every order, some of them twice, with the defects a cleaning run has to find."""
     o = load(spark, folder, "orders")
+    o = o.unionByName(o.where("o_orderkey % 29 = 0"))
     k = F.col("o_orderkey")
     price = F.when(k % 17 == 0, None).when(k % 23 == 0, -F.col("o_totalprice")).otherwise(
         F.col("o_totalprice"))
@@ -60,7 +61,7 @@ DIRTY_SQL = """dirty AS (
     CASE WHEN o_orderkey % 41 = 0 THEN 'not-a-date'
          ELSE strftime(o_orderdate, '%Y-%m-%d') END AS order_date,
     'x' AS constant, o_orderpriority AS priority
-  FROM orders)"""
+  FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey % 29 = 0))"""
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

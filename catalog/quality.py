@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.common import DIRTY_SQL, dirty_orders, load, query
 from inquest.functions.quantiles import column_quantiles, grouped_quantiles
-from inquest.operators import (anomalies, cleaning, evaluation, profiling, redaction)
+from inquest.operators import (anomalies, cleaning, duplicates, evaluation, profiling, redaction)
 
 NOW = dt.datetime(2025, 1, 1)
 DIRTY = ("order_id", "total_price", "status", "order_date", "constant", "priority")
@@ -184,6 +184,29 @@ def cleaning_applied(spark, sf):
                                        F.count("order_date").alias("dated"))
 
 
+@query(f"""WITH {DIRTY_SQL}, d AS (SELECT DISTINCT order_id, total_price, upper(trim(status)) AS status, order_date, constant, priority FROM dirty),
+   b AS (SELECT count(*) AS n, count(status) AS hs FROM dirty),
+   a AS (SELECT count(*) AS n, count(try_cast(order_date AS DATE)) AS dated, count(*) FILTER (total_price < 0) AS neg,
+     count(*) FILTER (total_price IS NULL OR total_price < 0) AS np, count(*) FILTER (status IS NULL) AS ns FROM d)
+   SELECT unnest(['strip_whitespace::status', 'normalize_category_casing::status', 'drop_exact_duplicates',
+     'coerce_datetime::order_date', 'null_out_negative_values::total_price', 'impute_missing_median::total_price',
+     'impute_missing_mode::status', 'drop_constant_columns::constant']) AS op_id,
+     unnest([b.hs, b.hs, b.n - a.n, a.dated, a.neg, a.np, a.ns, a.n]) AS actual_affected_rows,
+     'order_id,total_price,status,order_date,priority' AS columns FROM a, b""")
+def cleaning_log(spark, sf):
+    """What each operation touched, before and after copies go, and the columns that are left."""
+    rows = dirty_orders(spark, sf)
+    plan = cleaning.propose_plan(rows)
+    clean, log = cleaning.apply_plan(rows, plan, [o.op_id for o in plan.operations])
+    return log.to_df(spark).select("op_id", "actual_affected_rows", F.lit(",".join(clean.columns)).alias("columns"))
+
+
+@query(f"""WITH {DIRTY_SQL} SELECT order_id, total_price, status, order_date, priority, count(*) AS copies
+   FROM dirty GROUP BY ALL HAVING count(*) > 1""")
+def repeated_rows(spark, sf):
+    return duplicates.repeated_rows(dirty_orders(spark, sf).drop("constant"))
+
+
 # --- redaction ---------------------------------------------------------------
 
 @query("""SELECT c_custkey, 'İß🤖 call [REDACTED]7, ' || CASE WHEN k.c_name IS NULL

@@ -12,6 +12,7 @@ from inquest.functions.dates import parsed
 from inquest.functions.quantiles import quantile_values
 from inquest.functions.strings import strip, title_case
 from inquest.functions.tables import is_time
+from inquest.operators.duplicates import without_duplicates
 from inquest.operators.profiling import ColumnFacts, column_facts, duplicate_rows, hinted
 
 # Operations in the order they run (fixed values); the first three lose nothing.
@@ -93,7 +94,7 @@ def _apply(df: DataFrame, op: Operation, prefix: str, i: int) -> DataFrame:
     """One operation as a transform. A flag marks the rows it touches, counted later."""
     flag = f"{prefix}{i}"
     if op.operation == "drop_exact_duplicates":
-        return df.dropDuplicates([c for c in df.columns if not c.startswith(prefix)])
+        return without_duplicates(df)
     c = F.col(f"`{op.column}`")
     dtype = df.schema[op.column].dataType
     if op.operation == "drop_constant_columns":
@@ -126,10 +127,10 @@ def apply_plan(df: DataFrame, plan: Plan, approved: list[str] = ()) -> tuple[Dat
     """The cleaned table and the plan with what happened to each operation.
 
     Safe operations always run, others only when their id was approved. The input is
-    not changed. Row counts come from one aggregate at the end.
+    not changed. Touched rows are counted before duplicates go, and once more at the end.
     """
     log = [Operation(o.operation, o.column, o.reason, o.estimated) for o in plan.operations]
-    out, dropped, prefix = df, None, "touched_"
+    out, dropped, touched, prefix = df, None, {}, "touched_"
     while any(c.startswith(prefix) for c in df.columns):     # a user's column may be named so
         prefix = f"_{prefix}"
     for i, op in enumerate(log):
@@ -141,17 +142,26 @@ def apply_plan(df: DataFrame, plan: Plan, approved: list[str] = ()) -> tuple[Dat
             continue
         try:
             if op.operation == "drop_exact_duplicates":
-                dropped = (op, out)
+                held = _counted(out, prefix)
+                touched |= held
+                dropped = (op, held["rows"])
+                out = out.drop(*[c for c in out.columns if c.startswith(prefix)])
             out = _apply(out, op, prefix, i)
             op.executed = True
         except (PySparkException, ValueError) as error:
             op.skipped = f"error: {error}"
-    flags = [c for c in out.columns if c.startswith(prefix)]
-    row = out.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.count_if(F.col(c)).alias(c) for c in flags]).first()
+    row = _counted(out, prefix)
+    touched |= row
     for i, op in enumerate(log):
-        if op.executed and f"{prefix}{i}" in flags:
-            op.affected = row[f"{prefix}{i}"]
+        if op.executed and f"{prefix}{i}" in touched:
+            op.affected = touched[f"{prefix}{i}"]
     if dropped and dropped[0].executed:
-        dropped[0].affected = dropped[1].count() - row["rows"]
-    return out.drop(*flags), Plan(log)
+        dropped[0].affected = dropped[1] - row["rows"]
+    return out.drop(*[c for c in out.columns if c.startswith(prefix)]), Plan(log)
+
+
+def _counted(df: DataFrame, prefix: str) -> dict[str, int]:
+    """The number of rows, and of those that each flag marks."""
+    flags = [c for c in df.columns if c.startswith(prefix)]
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  *[F.count_if(F.col(c)).alias(c) for c in flags]).first().asDict()

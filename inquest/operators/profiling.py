@@ -17,6 +17,7 @@ from inquest.functions.quantiles import quantile_values
 from inquest.functions.strings import collapsed, similarity, strip
 from inquest.functions.tables import is_numeric, is_time, long_form, spread
 from inquest.operators.anomalies import anomalous_rows, outlier_counts
+from inquest.operators.duplicates import duplicate_count
 from inquest.session import cut_lineage
 
 MIN_LABEL_CHARS, MAX_LENGTH_GAP, MIN_RATIO = 4, 3, 0.8
@@ -201,9 +202,8 @@ def similar_labels(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One number: rows beyond the first of each identical row; missing equals missing."""
-    return (df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("n_"))
-            .agg(F.coalesce(F.sum(F.col("n_") - 1), F.lit(0)).alias("duplicate_rows")))
+    """How many rows repeat an earlier row in every column."""
+    return duplicate_count(df)
 
 
 def stored_order(df: DataFrame) -> DataFrame | None:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import scenarios
-from inquest.operators import (cleaning, drift, evaluation, joining, profiling, redaction)
+from inquest.operators import (cleaning, drift, duplicates, evaluation, joining, profiling, redaction)
 
 NOW = dt.datetime(2025, 6, 1)
 
@@ -251,6 +251,26 @@ def test_similar_labels_of_a_wide_column(spark):
     assert got == want and len(want) > 500
 
 
+def test_duplicates_by_hashes_first(spark):
+    rows = [(None, 1.0, "a"), (None, 1.0, "a"), ("a", None, None), (None, None, "a"), ("x", -0.0, "b"),
+                               ("x", 0.0, "b"), ("y", float("nan"), "c"), ("y", float("nan"), "c"), ("z", 2.0, "d")]
+    df = spark.createDataFrame(rows, "h1_ string, v double, copies string").repartition(3)
+    assert duplicates.duplicate_count(df).first()[0] == 3
+    found = {(r["h1_"], r["copies"], r["copies_"]) for r in duplicates.repeated_rows(df).collect()}
+    assert found == {(None, "a", 2), ("x", "b", 2), ("y", "c", 2)}
+    once = duplicates.without_duplicates(df)
+    assert once.columns == df.columns and once.count() == 6
+    whole = spark.range(50).select("id", F.lit(None).cast("string").alias("n"))
+    assert duplicates.without_duplicates(whole).count() == 50 and duplicates.duplicate_count(whole.limit(0)).first()[0] == 0
+
+
+def test_touched_rows_are_counted_before_copies_go(spark):
+    df = spark.createDataFrame([(i % 5, " A " if i % 2 else "a", 1.0 * (i % 5)) for i in range(40)], "k int, s string, v double")
+    out, log = cleaning.apply_plan(df, cleaning.propose_plan(df))
+    made = {o.operation: o.affected for o in log.operations if o.executed}
+    assert made["strip_whitespace"] == 40 and made["drop_exact_duplicates"] == 35 and out.count() == 5
+
+
 def test_scores(spark):
     def pairs(x):
         return spark.createDataFrame(x, "`column` string, issue string")
