@@ -271,6 +271,33 @@ def test_touched_rows_are_counted_before_copies_go(spark):
     assert made["strip_whitespace"] == 40 and made["drop_exact_duplicates"] == 35 and out.count() == 5
 
 
+def test_guarded_sql_reads_only_its_view(spark, tmp_path):
+    from inquest.operators.filters import readonly_sql
+    path = str(tmp_path / "other")
+    spark.range(3).write.parquet(path)
+    spark.range(4).createOrReplaceTempView("elsewhere")
+    spark.sql(f"CREATE TABLE kept_aside USING parquet LOCATION '{path}'")
+    spark.createDataFrame([(7,)], "id long").createOrReplaceTempView("small")
+    stored = spark.read.parquet(path).union(spark.range(5).toDF("id"))
+    for data in (stored, spark.createDataFrame([(1, "please drop it"), (2, "x")], "id long, t string")):
+        n = data.count()
+        assert readonly_sql(data, "select count(*) n from data").first().n == n
+        assert readonly_sql(data, "with a as (select id from data) select a.id from a join data b on a.id = b.id"
+                                  " where a.id in (select max(id) from data)").count() >= 1
+        assert readonly_sql(data, "select 'delete from drop ' as t, id from data").count() == n
+        assert readonly_sql(data, "select * from values (1) v").count() == 1
+        for bad in ("select * from small", "select * from data where id = (select max(id) from small)", "select * from elsewhere", "select * from kept_aside", "select id from data union all select id from elsewhere",
+                    "select * from data where id in (select id from elsewhere)", "select (select max(id) from kept_aside) from data",
+                    "select * from range(9)"):
+            with pytest.raises(ValueError, match="only read"):
+                readonly_sql(data, bad)
+    with pytest.raises(ValueError, match="only read"):
+        readonly_sql(spark.range(2).toDF("id"), f"select * from parquet.`{path}`")
+    with pytest.raises(ValueError, match="Forbidden"):
+        readonly_sql(stored, "select 1; drop table kept_aside")
+    spark.sql("DROP TABLE kept_aside")
+
+
 def test_scores(spark):
     def pairs(x):
         return spark.createDataFrame(x, "`column` string, issue string")
