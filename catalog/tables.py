@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.common import load, query, scratch
+from inquest.functions.exactsums import exact_sum
 from inquest.operators import filters, summaries
 from inquest.sources import readers
 from inquest.sources.versions import VersionStore, list_datasets, lineage
@@ -213,6 +214,21 @@ def series_per_group(spark, sf):
                       F.round("value", 4).alias("value"))
 
 
+@query("""WITH r AS (SELECT l_returnflag, l_extendedprice::DECIMAL(38, 2) AS v, l_orderkey % 3 AS k FROM lineitem)
+   SELECT l_returnflag, sum(v * CASE k WHEN 0 THEN 1000000000 ELSE 1 END)::DOUBLE AS large,
+     sum(v)::DOUBLE AS plain, (sum(CASE k WHEN 0 THEN 4503599627370496 WHEN 1 THEN -4503599627370496 ELSE 0 END::HUGEINT)
+       + sum(0.25::DECIMAL(38, 2)))::DOUBLE AS cancelled FROM r GROUP BY 1""")
+def exact_totals(spark, sf):
+    """Sums that do not depend on the order of the rows, also where large values cancel out."""
+    k = F.pmod("l_orderkey", F.lit(3))
+    rows = load(spark, sf, "lineitem").withColumns({
+        "large": F.round(F.col("l_extendedprice") * F.when(k == 0, 1e9).otherwise(1.0), 2),
+        "big": F.when(k == 0, 4503599627370496.25).when(k == 1, -4503599627370495.75).otherwise(0.25)})
+    return rows.groupBy("l_returnflag").agg(
+        exact_sum(F.col("large")).alias("large"), exact_sum(F.col("l_extendedprice")).alias("plain"),
+        exact_sum(F.col("big")).alias("cancelled"))
+
+
 @query("""SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS count FROM lineitem GROUP BY ALL""")
 def contingency(spark, sf):
     return summaries.contingency(load(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from inquest.functions.exactsums import exact_sum, steady_sum
 from inquest.functions.dates import parsed_column, with_spine
 from inquest.functions.quantiles import quantile_values
 from inquest.functions.tables import long_form, require_columns, spread
@@ -56,7 +57,7 @@ def resolve_split(df: DataFrame, date: str, metric: str,
     method, strength = "supplied", None
     if split is None:
         monthly = (rows.groupBy(F.trunc("ts", "month").alias("period"))
-                   .agg(F.coalesce(F.sum(f"`{metric}`"), F.lit(0)).cast("double").alias("value")))
+                   .agg(F.coalesce(steady_sum(rows, metric), F.lit(0)).cast("double").alias("value")))
         series = with_spine(monthly, [], "period", "MS").fillna(0.0, ["value"])
         found = change_points(series).collect()
         if not found:
@@ -87,8 +88,8 @@ def period_sums(df: DataFrame, date: str, metric: str, dimensions: list[str],
                          *[F.col(f"`{d}`") for d in dict.fromkeys(dimensions)])
     cells = long_form(marked, dimensions, "string", ["late", "m"], "dimension", "group")
     return (cells.where("`group` IS NOT NULL").groupBy("dimension", "group")
-            .agg(F.coalesce(F.sum(F.when(~F.col("late"), F.col("m"))), F.lit(0.0)).alias("before"),
-                 F.coalesce(F.sum(F.when(F.col("late"), F.col("m"))), F.lit(0.0)).alias("after")))
+            .agg(F.coalesce(exact_sum(F.when(~F.col("late"), F.col("m"))), F.lit(0.0)).alias("before"),
+                 F.coalesce(exact_sum(F.when(F.col("late"), F.col("m"))), F.lit(0.0)).alias("after")))
 
 
 def period_contribution(df: DataFrame, date: str, metric: str, by: str | list[str],
@@ -108,7 +109,7 @@ def period_contribution(df: DataFrame, date: str, metric: str, by: str | list[st
          - F.col("before") / split.before_months).alias("change"))
     # one row per column of the table, so the broadcast is bounded by the schema
     totals = groups.groupBy("dimension").agg(
-        F.sum("change").alias("total"), F.sum("prev").alias("total_prev"),
+        exact_sum(F.col("change")).alias("total"), exact_sum(F.col("prev")).alias("total_prev"),
         F.count(F.lit(1)).alias("groups"))
     share = F.when(F.col("total") != 0, F.col("change") / F.col("total") * 100).otherwise(0.0)
     return (
@@ -184,7 +185,7 @@ def seasonal_check(df: DataFrame, date: str, metric: str, by: str | list[str], c
         cells = cells.where(chosen)
     keys = ["dimension", "group"]
     monthly = (cells.groupBy(*keys, F.trunc("ts", "month").alias("period"))
-               .agg(F.coalesce(F.sum(f"`{metric}`"), F.lit(0)).cast("double").alias("value")))
+               .agg(F.coalesce(steady_sum(df, metric), F.lit(0)).cast("double").alias("value")))
     series = with_spine(monthly, keys, "period", "MS").fillna(0.0, ["value"])
     late = F.col("n.period").cast("timestamp") >= F.lit(cutoff).cast("timestamp")
     paired = series.alias("n").join(

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inquest.functions.dates import (parsed_column, period_label, period_start, with_spine)
+from inquest.functions.exactsums import exact_sum, steady_sum
 from inquest.functions.quantiles import column_quantiles, grouped_quantiles
 from inquest.functions.strings import group_label
 from inquest.functions.tables import numeric_columns, require_columns
@@ -71,6 +72,8 @@ def group_values(df: DataFrame, by: list[str], metric: str, agg: str = "sum") ->
         # two steps, so a group with very many values is spread over tasks first
         return (df.groupBy(*by, value.alias("v")).agg(F.count(F.lit(1)).alias("c"))
                 .groupBy(*by).agg(F.count("v").cast("double").alias("value")))
+    if agg == "sum":                     # whatever the order of the rows
+        return df.groupBy(*by).agg(F.coalesce(steady_sum(df, metric), F.lit(0)).cast("double").alias("value"))
     return df.groupBy(*by).agg(aggregate(agg, value).alias("value"))
 
 
@@ -82,7 +85,7 @@ def groupby_aggregate(df: DataFrame, by: str | list[str], metric: str,
     grouped = group_values(df, by, metric, agg)
     rows = grouped.select(group_label(*[F.col(f"`{b}`") for b in by]).alias("group"), "value")
     if agg == "sum":
-        total = grouped.agg(F.sum("value").alias("total")).scalar()
+        total = grouped.agg(exact_sum(F.col("value")).alias("total")).scalar()
         rows = rows.withColumn("share_pct", F.round(F.try_divide(F.col("value"), total) * 100, 2))
     return rows.orderBy(F.desc_nulls_last("value"), "group")
 
@@ -142,7 +145,7 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 def metric_snapshot(df: DataFrame, metric: str, dimensions: list[str]) -> DataFrame:
     """The metric's total, and its total by each of the dimensions, in one pass."""
     dims = [d for d in dimensions if d in df.columns]
-    value = F.coalesce(F.sum(f"`{metric}`"), F.lit(0)).cast("double").alias("value")
+    value = F.coalesce(steady_sum(df, metric), F.lit(0)).cast("double").alias("value")
     if not dims:
         return df.agg(value).select(F.lit(None).cast("string").alias("dimension"),
                                     F.lit(None).cast("string").alias("group"), "value")

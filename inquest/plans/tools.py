@@ -7,6 +7,7 @@ import hashlib
 import json
 import math
 import time
+import uuid
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
@@ -18,6 +19,7 @@ from inquest.constants import DOCUMENT_SUFFIXES, RETURNED_SQL_ROWS, TABULAR_SUFF
 from inquest.operators import (cleaning, contribution, drift, drivers, forecasting, pages, profiling,
                                retrieval, stattests, summaries)
 from inquest.operators.filters import check_operation, readonly_sql, visible
+from inquest.session import cut_lineage
 from inquest.sources import readers
 from inquest.sources.records import RecordStore, upsert
 from inquest.sources.versions import VersionStore, table_checksum
@@ -85,10 +87,9 @@ class Workspace:
                .join(docs.select("url", "owner_id").distinct().alias("n"),
                      (F.col("o.url") == F.col("n.url"))
                      & F.col("o.owner_id").eqNullSafe(F.col("n.owner_id")), "left_semi"))
-        gone = [r["id"] for r in old.select("id").collect()]
+        gone = cut_lineage(old.select("id", F.lit("documents").alias("table")))     # before new ones come
         self.index(docs)
-        if gone:
-            self.records.append("deleted", [{"id": i, "table": "documents"} for i in gone])
+        self.records.append_frame("deleted", gone)
 
 
 # --- results -----------------------------------------------------------------
@@ -114,7 +115,8 @@ def frame_result(df: DataFrame) -> dict:
     result = {"columns": df.columns, "rows": plain(rows[:RETURNED_SQL_ROWS])}
     if len(rows) <= RETURNED_SQL_ROWS:
         return result | {"row_count": len(rows)}
-    steady = df.select(*[F.round(f"`{f.name}`", 4).alias(f.name)
+    # nine digits of a number, as on the page
+    steady = df.select(*[F.format_string("%.8e", F.col(f"`{f.name}`").cast("double")).alias(f.name)
                          if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
                          for f in df.schema])
     mark = table_checksum(steady).first()["checksum"]
@@ -293,16 +295,17 @@ def fetch_url(ws: Workspace, url: str, pages_path: str, owner_id: str | None = N
               max_pages: int = 25, max_depth: int = 3, subject: str | None = None) -> dict:
     """Index the stored pages of one site that can be reached from an address."""
     stored = ws.spark.read.parquet(pages_path)
+    walked = uuid.uuid4().hex              # one for the walk: a task that runs again names pages alike
     walk = pages.reachable_pages(stored, url, max_pages, max_depth)
     texts = pages.page_documents(stored).withColumn("url", pages.without_fragment(F.col("url")))
     docs = (texts.join(F.broadcast(walk.select("url")), "url", "left_semi")
             .groupBy("url").agg(F.min(F.struct("title", "text")).alias("p"))
-            .select(F.concat(F.lit("page-"), F.sha2(F.concat_ws("|", "url", F.lit(owner_id), F.uuid()), 256))
+            .select(F.concat(F.lit("page-"), F.sha2(F.concat_ws("|", "url", F.lit(owner_id), F.lit(walked)), 256))
                     .alias("document_id"), "url", "p.title", "p.text",
                     F.lit("web_page").alias("document_type"),
                     F.lit(owner_id).cast("string").alias("owner_id"),
                     F.lit(subject).cast("string").alias("subject")))
-    ws.replace_pages(docs.persist())
+    ws.replace_pages(docs)
     return frame_result(walk)
 
 

@@ -205,3 +205,35 @@ def test_extreme_value_among_equal_ones(spark):
     df = spark.createDataFrame([(10.0,)] * 40 + [(9000.0,)], "v double")
     r = anomalies.outlier_counts(df).first()
     assert (r["outliers"], r["extreme_outliers"]) == (0, 1)
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    import math
+    from inquest.functions.exactsums import exact_sum
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(0, 10.0 ** k, 300) for k in range(-9, 16)]).tolist()
+    values += [-v for v in values[:4000]] + [1e15, 0.1, 0.2, -1e15, 3e27, -3e27]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    sums = {df.repartition(n).agg(exact_sum(F.col("v"))).first()[0] for n in (1, 3, 8)}
+    sums |= {df.orderBy(order).agg(exact_sum(F.col("v"))).first()[0] for order in ("v", F.desc("v"))}
+    assert len(sums) == 1
+    assert sums.pop() == pytest.approx(math.fsum(values), rel=1e-12)
+    for some in ([-0.22, -0.55, -1118.43, 0.1], [-1e-9, -3.25], [5.5, -5.5], [-1e15, 0.3], [7.0, -8.125]):
+        one = spark.createDataFrame([(v,) for v in some], "v double").agg(exact_sum(F.col("v"))).first()[0]
+        assert one == pytest.approx(math.fsum(some), rel=1e-15, abs=1e-17)
+    few = spark.createDataFrame([(0.1,)] * 10, "v double")
+    assert few.agg(exact_sum(F.col("v"))).first()[0] == pytest.approx(1.0, rel=1e-15)
+    odd = spark.createDataFrame([(float("inf"),), (1.0,)], "v double")
+    assert odd.agg(exact_sum(F.col("v"))).first()[0] == float("inf")
+    assert df.where("v > 1e30").agg(exact_sum(F.col("v"))).first()[0] is None
+
+
+def test_results_show_a_changed_ninth_digit(spark):
+    from inquest.plans.tools import checksum, frame_result
+    from inquest.operators.summaries import groupby_aggregate
+    rows = [(f"g{i % 700}", 1e15 / 7 + i * 0.37) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    marks = {checksum(frame_result(groupby_aggregate(df.repartition(n), "g", "v"))) for n in (1, 5, 8)}
+    assert len(marks) == 1
+    other = df.withColumn("v", F.when(F.col("g") == "g650", F.col("v") * (1 + 2e-8)).otherwise(F.col("v")))
+    assert checksum(frame_result(groupby_aggregate(other, "g", "v"))) not in marks
