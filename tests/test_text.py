@@ -192,3 +192,14 @@ def test_titles(spark):
     assert df.select(thread_title(F.col("t"))).first()[0] == "Revenue decline last quarter"
     assert [r[0] for r in df.select(title_case(F.col("t"))).collect()] == [
         "why did our revenue decline last quarter?".title(), "o'neil AND mary-jane".title()]
+
+
+def test_only_references_leave_for_python(spark):
+    import html
+    texts = ["a &amp; b", "&lt;x&gt", "&notit; &notin;", "&#65;&#x42&#0;", "&amp", "no reference", "", None, "&;&# &&amp;",
+             "&" + "n" * 40, "\U0001f916&eacute\u0001&copy", "&#1;x", "&nbsp;" * 3, "a&b=c&lang=d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("got", pages.decoded(F.col("t")))
+    assert {r.i: r.got for r in df.collect()} == {
+        i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "characters(regexp_extract_all(" in plan
