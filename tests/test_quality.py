@@ -325,3 +325,24 @@ def test_scores(spark):
                                     "system string, scenario string, rank_1 boolean, found boolean, completed boolean, mape double")
     roll = evaluation.system_rollup(systems).first()
     assert (roll["rank_1_rate"], roll["found_rate"], roll["avg_mape"]) == (0.5, 1.0, 2.0)
+
+
+def test_pairs_of_labels_meet_only_where_they_can_be_similar(spark):
+    draw = np.random.default_rng(3)
+    labels = {"".join(draw.choice(list("abcdefghijklmnop"), 8)) for _ in range(3000)}
+    labels |= {"kitchenware", "kitchenwares", "a rather long label of words", "a rather long lable of words"}
+    df = spark.createDataFrame([("c", s, len(s)) for s in sorted(labels)], "`column` string, label string, size int")
+    short, long = profiling._short_pairs(df).collect(), profiling._long_pairs(df).collect()
+    # random labels share neighbours by the thousand, but not seven of eight characters
+    assert len(short) < 100 and ("kitchenware", "kitchenwares") in {(r.label, r.other) for r in short}
+    assert [(r.label, r.other) for r in long] == [("a rather long label of words", "a rather long lable of words")]
+
+
+def test_copies_are_looked_for_once(spark, monkeypatch):
+    rows = [(k // 2, None if k % 5 == 0 else float(k), None if k % 7 == 0 else "ab"[k % 2]) for k in range(60)]
+    df = spark.createDataFrame(rows * 2, "k int, total_price double, status string")
+    plan = cleaning.propose_plan(df)
+    clean, log = cleaning.apply_plan(df, plan, [o.op_id for o in plan.operations])
+    assert "Join" not in clean._jdf.queryExecution().executedPlan().toString()
+    assert clean.count() == 60 and clean.where("total_price IS NULL OR status IS NULL").count() == 0
+    assert {o.operation: o.affected for o in log.operations}["drop_exact_duplicates"] == 60
