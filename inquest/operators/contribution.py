@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from inquest.functions.exactsums import exact_sum, steady_sum
@@ -211,6 +212,7 @@ def seasonal_check(df: DataFrame, date: str, metric: str, by: str | list[str], c
 # --- bootstrap ---------------------------------------------------------------
 
 _TABLE_LIMIT = 64
+KEYS_PER_TASK = 1 << 20
 
 
 def _hashes(keys: np.ndarray, draws: int) -> np.ndarray:
@@ -280,13 +282,41 @@ def _partial_sums(draws: int, flush: int = 2000):
     return run
 
 
+def _counted(rows: DataFrame, dimensions: list[str], tasks: int, needed: int) -> DataFrame:
+    """``dimension, group, late, m, c``: equal rows counted, in more tasks if more are needed."""
+    key = ["dimension", "group", "late", "m"]
+    if needed <= tasks:
+        return (long_form(spread(rows), dimensions, "string", ["late", "m"], "dimension", "group")
+                .groupBy(*key).agg(F.count(F.lit(1)).alias("c"))
+                # many draws per row: keep the tasks that adaptive execution would merge
+                .repartition(tasks))
+    names = [f"d{i}" for i in range(len(dimensions))]
+    some = rows.select("late", "m", *[F.col(f"`{d}`").cast("string").alias(n) for n, d in zip(names, dimensions)])
+
+    def run(batches):
+        """Equal rows of a batch as one, so that copies of a row do not travel to one task."""
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            yield from (table.group_by(["late", "m", *names]).aggregate([([], "count_all")])
+                        .select(["late", "m", *names, "count_all"])
+                        .rename_columns(["late", "m", *names, "n"]).to_batches())
+    fewer = some.mapInArrow(run, "late boolean, m double, " + "".join(f"{n} string, " for n in names) + "n long")
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(n).alias("group"))
+                      for n, d in zip(names, dimensions)])
+    return (fewer.repartition(needed, "late", "m").select("late", "m", "n", F.explode(cells).alias("cell"))
+            .select("cell.dimension", "cell.group", "late", "m", "n")
+            .groupBy(*key).agg(F.sum("n").alias("c")))
+
+
 def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list[str],
-                           split: Split, draws: int = 200, least: int = 30) -> DataFrame:
+                           split: Split, draws: int = 200, least: int = 30,
+                           keys_per_task: int = KEYS_PER_TASK) -> DataFrame:
     """A 95 % bootstrap interval around each group's share of the change.
 
     Equal rows are counted first, so a row is (group, side, value) with a count and
     its weights follow from a hash of that key: no random state, and the same
-    result under any partitioning. Sums are rescaled to the real number of rows.
+    result under any partitioning. Sums are rescaled to the real number of rows. A task
+    counts about ``keys_per_task`` different keys at most.
     """
     dimensions = [by] if isinstance(by, str) else list(by)
     late = F.col("ts") >= F.lit(split.cutoff.isoformat(" ")).cast("timestamp")
@@ -294,15 +324,15 @@ def contribution_intervals(df: DataFrame, date: str, metric: str, by: str | list
             .select(late.alias("late"), F.col(f"`{metric}`").cast("double").alias("m"),
                     F.trunc("ts", "month").alias("month"), *[F.col(f"`{d}`") for d in dimensions]))
     spans = {r["late"]: r for r in rows.groupBy("late").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("month").alias("months")).collect()}
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("month").alias("months"),
+        F.approx_count_distinct(F.struct("m", *[F.col(f"`{d}`") for d in dimensions])).alias("keys")).collect()}
     schema = "dimension string, `group` string, low double, high double, draws long"
     if any(side not in spans or spans[side]["rows"] < least for side in (False, True)):
         return df.sparkSession.createDataFrame([], schema)
-    counted = (long_form(spread(rows.drop("month")), dimensions, "string", ["late", "m"], "dimension", "group")
-               .groupBy("dimension", "group", "late", "m").agg(F.count(F.lit(1)).alias("c"))
-               .withColumn("h", F.xxhash64("dimension", "group", "late", "m"))
-               # many draws per row: keep the tasks that adaptive execution would merge
-               .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = -(-sum(r["keys"] for r in spans.values()) * len(dimensions) // keys_per_task)
+    counted = _counted(rows.drop("month"), dimensions, tasks, needed).withColumn(
+        "h", F.xxhash64("dimension", "group", "late", "m"))
     partial = counted.mapInPandas(
         _partial_sums(draws),
         "dimension string, `group` string, late boolean, wv array<double>, w array<double>")

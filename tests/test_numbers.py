@@ -237,3 +237,20 @@ def test_results_show_a_changed_ninth_digit(spark):
     assert len(marks) == 1
     other = df.withColumn("v", F.when(F.col("g") == "g650", F.col("v") * (1 + 2e-8)).otherwise(F.col("v")))
     assert checksum(frame_result(groupby_aggregate(other, "g", "v"))) not in marks
+
+
+def test_intervals_count_keys_in_more_tasks(spark):
+    rng = np.random.default_rng(8)
+    n = 2000
+    pdf = pd.DataFrame({"d": rng.choice(scenarios.months("2023-01-01", "2024-12-01"), n),
+                        "g": rng.choice(["a", "b", None], n), "h": rng.choice([1, 2], n),
+                        "v": np.where(rng.random(n) < 0.3, 0.0, rng.normal(100, 20, n).round(1))})
+    df = spark.createDataFrame(pdf)
+    split = contribution.resolve_split(df, "d", "v", "2024-01-01")
+    few, many = (contribution.contribution_intervals(df, "d", "v", ["g", "h"], split, **kw) for kw in (
+        {}, {"keys_per_task": 200}))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() == 4
+    rows = df.select(F.lit(True).alias("late"), F.col("v").alias("m"), "g", "h")
+    counted = contribution._counted(rows, ["g", "h"], 4, 40)
+    assert counted.rdd.getNumPartitions() == 40 and counted.agg(F.sum("c")).first()[0] == 2 * n
+    assert counted.where("m = 0 AND dimension = 'h'").count() == 2
