@@ -33,6 +33,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: shingles of five words, Jaccard 0.8.
 
+    SimHash fingerprints within 3 of 64 bits name the first pairs, the sets of shingles confirm them
+    and add the pairs that fingerprints do not show.
+
     The smallest id stays, nulls last; of rows that share it the smallest by its columns. Null and empty
     texts are one class. An empty table stays empty.
     """

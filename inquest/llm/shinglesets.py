@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and by exact Jaccard similarity of word shingles.
+
+Every set has a SimHash fingerprint of its text's shingles. Sets whose fingerprints lie within three
+bits, found by the sharded trees of ``simhash.py``, are the first pairs; like all pairs they count as
+links once their whole sets confirm them. What fingerprints so close do not show, most pairs of similarity
+0.8 to 0.95, is found by the sets themselves:
 
 Two sets of similarity 0.8 or more share one of their first ``n - ceil(0.8 n) + 1`` members in
 any order that holds for all sets (prefix filter), so every such pair meets under a shared
@@ -14,8 +19,8 @@ differ in bits. A sketch of 256 bits travels with each list; the pairs it leaves
 of at least two bits a member. What is left is confirmed on the whole sets, which are made
 again from those texts alone.
 
-Pairs meet in rounds. The first compares neighbours by size in each cell and every set with its
-cell's first. The next ones compare each set with the closest one of its list that is not yet in its
+Pairs meet in rounds. The first takes the pairs by fingerprint, neighbours by size in each cell and
+every set with its cell's first. The next ones compare each set with the closest one of its list that is not yet in its
 component, which joins large groups by about as many pairs as they have members. The last one
 compares every pair that is not yet in one component, so no link is lost.
 
@@ -31,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from inquest.llm import simhash
 from inquest.llm.common import (broadcast_within, bucketed, cut_lineage, present, spool, unused)
 from inquest.llm.simhash import LOWER, components
 
@@ -40,9 +46,11 @@ LIST = 4096               # rows of a block of a list
 PAIRS = 1 << 18           # pairs compared at once in a task
 CLOSEST = 1               # rounds that compare each set with its closest open one
 SKETCH = 256              # bits of the smallest sketch
+RADIUS = 3                # fingerprints that differ in so many bits are looked at first
 
-def members(text: bytes, shingle: int = 5) -> np.ndarray:
-    """The sorted hashes of the distinct shingles; a shorter text is one shingle."""
+
+def hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The hashes of the shingles, repeats included; a shorter text is one shingle."""
     words = text.translate(LOWER).split()       # splits at ASCII white space only
     if not words:
         return np.zeros(0, dtype=np.uint64)
@@ -51,8 +59,13 @@ def members(text: bytes, shingle: int = 5) -> np.ndarray:
     ends = np.cumsum(lengths + 1) - 1
     first, last = (ends - lengths).tolist(), ends[shingle - 1:].tolist() or [len(line)]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(first, last)),
-                                 dtype=np.uint64, count=len(last)))
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(first, last)),
+                       dtype=np.uint64, count=len(last))
+
+
+def members(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The sorted hashes of the distinct shingles."""
+    return np.unique(hashes(text, shingle))
 
 
 def sketch(members: np.ndarray) -> bytes:
@@ -102,14 +115,16 @@ def common_members(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, late: np.ndarray) -> DataFrame:
-    """``doc_id, text_hash, key, n, prefix, wide`` for every row; equal sets have equal keys."""
+    """``doc_id, text_hash, key, n, prefix, wide, fp`` for every row; equal sets have equal keys."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for start in range(0, part.num_rows, 1024):
                 some = part.slice(start, 1024)
-                keys, sizes, firsts, wide = [], [], [], []
+                keys, sizes, firsts, wide, fps = [], [], [], [], []
                 for text in some.column(2).to_pylist():
-                    found = members(text.encode("utf-8", "replace"), shingle)
+                    every = hashes(text.encode("utf-8", "replace"), shingle)
+                    fps.append(simhash.signed(simhash.majority(every)))
+                    found = np.unique(every)
                     n = len(found)
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                     sizes.append(n)
@@ -124,12 +139,12 @@ def shingle_sets(docs: DataFrame, shingle: int, late: np.ndarray) -> DataFrame:
                                                  pa.array(np.concatenate(firsts)))
                 yield pa.record_batch(
                     [some.column(0), some.column(1), pa.array(keys), pa.array(sizes, pa.int32()),
-                     lists, pa.array(wide)],
-                    names=["doc_id", "text_hash", "key", "n", "prefix", "wide"])
+                     lists, pa.array(wide), pa.array(fps, pa.int64())],
+                    names=["doc_id", "text_hash", "key", "n", "prefix", "wide", "fp"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("text").alias("text_hash"),
                        present(F.col("text")).alias("text")).mapInArrow(
-        run, "doc_id long, text_hash long, key binary, n int, prefix array<long>, wide binary")
+        run, "doc_id long, text_hash long, key binary, n int, prefix array<long>, wide binary, fp long")
 
 
 def narrow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +305,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], Da
             .filter(9 * both >= 4 * (F.size("ma") + F.size("mb"))).select("a", "b"))
 
 
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """``a, b``: pairs that join all sets whose SimHash fingerprints lie within the radius."""
+    first = cut_lineage(sets.groupBy("fp").agg(F.min("id").alias("of")))
+    known = broadcast_within(first, 16)
+    same = sets.select("id", "fp").join(known, "fp").filter("id <> of").select(
+        F.col("of").alias("a"), F.col("id").alias("b"))
+    one, two = (known.select(F.col("fp").alias(c), F.col("of").alias(f"id_{c}")) for c in "ab")
+    near = simhash.links(first, RADIUS).join(one, "a").join(two, "b")
+    return same.unionByName(near.select(F.least("id_a", "id_b").alias("a"),
+                                        F.greatest("id_a", "id_b").alias("b")))
+
+
 def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``a, b``: links that join all sets of similarity 0.8 or more.
 
-    ``sets`` has ``id, n, prefix, wide``; ``whole`` gives ``id, members`` for a table of ids.
+    ``sets`` has ``id, n, prefix, wide, fp``; ``whole`` gives ``id, members`` for a table of ids.
     """
     shared = bucketed(cells(sets), "cell")
     known = spool(sets.select("id", "n", "wide"))
@@ -310,7 +337,10 @@ def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame
                                                 F.coalesce("root", "id").alias("root"))
         rooted = rooted.select(*shared.columns, F.row_number().over(order).alias("nth"),
                                *(["root"] if found is not None else []))
-        pairs = cut_lineage(rooted.mapInArrow(meets[at], "a long, b long").distinct())
+        pairs = rooted.mapInArrow(meets[at], "a long, b long")
+        if found is None:
+            pairs = pairs.unionByName(fingerprint_pairs(sets))
+        pairs = cut_lineage(pairs.distinct())
         sure = cut_lineage(confirmed(pairs, known, whole))
         nothing = sure.isEmpty()
         found = sure if found is None else found.unionByName(sure)
@@ -326,7 +356,7 @@ def classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
                  .withColumn("id", F.monotonically_increasing_id()))
     keys = cut_lineage(rows.groupBy("key").agg(F.min("id").alias("id")))
     sets = rows.filter("n > 0").join(broadcast_within(keys.select("id"), 16), "id", "left_semi")
-    sets = sets.select("id", "n", "prefix", "wide")
+    sets = sets.select("id", "n", "prefix", "wide", "fp")
 
     def whole(ids: DataFrame) -> DataFrame:
         """The members of some sets, from a text that has them."""

@@ -56,6 +56,15 @@ def fingerprint(text: bytes, shingle: int = 3, chunk: int = 1 << 16) -> int:
     return int("".join("1" if 2 * x > n else "0" for x in ones.tolist()), 2)
 
 
+def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
+    """The SimHash of hashes, repeats included: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), chunk):
+        some = hashes[at:at + chunk].astype(">u8")
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int("".join("1" if 2 * x > len(hashes) else "0" for x in ones.tolist()), 2)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` for every row; ``fp`` is the fingerprint as a signed long."""

@@ -310,3 +310,38 @@ def test_many_deleted_lines_take_linear_time(spark):
     assert {r.doc_id: r.text for r in lines.deduplicated(df).collect()} == {
         1: "\n".join(shared), 2: "first\nlast"}
     assert time.time() - begun < 120
+
+
+def test_near_copies_go_through_simhash(spark, monkeypatch):
+    from inquest.llm import simhash
+    draw, texts = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{draw.randrange(3000)}" for _ in range(900)]
+        for k in range(4):
+            texts.append(" ".join(words[:-1] + [f"w{k}"] if k else words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    asked, real = [], shinglesets.fingerprint_pairs
+
+    def spy(sets):
+        ids = {r.id: r.fp for r in sets.collect()}
+        asked.append((ids, [(r.a, r.b) for r in real(sets).collect()]))
+        return real(sets)
+    monkeypatch.setattr(shinglesets, "fingerprint_pairs", spy)
+    kept = {r.doc_id for r in shinglesets.one_per_class(df).collect()}
+    ids, pairs = asked[0]
+    assert len(asked) == 1 and set(ids.values()) == {simhash.signed(x) for x in fps}
+    root = {x: x for x in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in pairs:
+        assert a != b
+        root[find(a)] = find(b)
+    for a in ids:
+        for b in ids:
+            if ((ids[a] ^ ids[b]) & ((1 << 64) - 1)).bit_count() <= 3:
+                assert find(a) == find(b)
+    assert len(pairs) > 20 and kept == set(range(0, 48, 4))
