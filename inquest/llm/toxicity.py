@@ -30,7 +30,7 @@ from inquest.llm.common import SPACE, present, spool
 
 SPAN, DECAY = 5, 0.6      # a subsequence spans at most SPAN + 1 characters
 WINDOW = 24               # longer terms are cut into windows of so many characters
-REMEMBER = 400_000        # terms whose margin a task remembers
+REMEMBER = 100_000        # terms whose margin a task remembers
 CODES = 32 ** 3
 STRONG = 20.0             # log-likelihood from which a term is toxic on its own evidence
 LEAST_RATIO = 5.0         # times as frequent in toxic documents, at least
