@@ -12,6 +12,8 @@ from inquest.session import cut_lineage, shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
+TASK_ROWS = 1 << 16       # rows of a narrow table (two numbers a row) that a task takes without need of more
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -51,6 +53,25 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A materialised table in a few partitions, for a count or a sum: a task reads many of its files."""
+    return df.coalesce(max(12, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """A materialised narrow table of ``rows`` rows in no more partitions than these need.
+
+    What follows then has as many tasks, shuffle files and events as there is work, also where adaptive
+    execution may not join small partitions; a table with more rows keeps more partitions.
+    """
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """``fitted`` to its counted rows."""
+    return fitted(df, few(df).count())
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
@@ -70,4 +91,4 @@ def broadcast_within(df: DataFrame, row_bytes: int, limit: int = 16 << 20) -> Da
 
 
 __all__ = ["WORD", "SPACE", "QUERIES", "ORACLES", "query", "table", "spool", "bucketed", "present",
-           "unused", "broadcast_within", "cut_lineage", "shared_folder"]
+           "few", "fitted", "compact", "unused", "broadcast_within", "cut_lineage", "shared_folder"]

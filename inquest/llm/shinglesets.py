@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from inquest.llm import simhash
-from inquest.llm.common import (broadcast_within, bucketed, cut_lineage, present, spool, unused)
+from inquest.llm.common import (broadcast_within, bucketed, compact, cut_lineage, present, spool,
+                                unused)
 from inquest.llm.simhash import LOWER, components
 
 COMMON = 1 << 18          # at most so many members are put last
@@ -293,9 +294,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], Da
     """The pairs whose sets have Jaccard similarity 0.8 or more."""
     one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
     two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-    likely = cut_lineage(one.join(broadcast_within(pairs, 16), "a").join(two, "b").select(
-        "a", "b", "na", "nb", "wa", "wb").mapInArrow(close, "a long, b long"))
-    ids = cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    likely = compact(cut_lineage(one.join(broadcast_within(pairs, 16), "a").join(two, "b").select(
+        "a", "b", "na", "nb", "wa", "wb").mapInArrow(close, "a long, b long")))
+    ids = compact(cut_lineage(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     if ids.isEmpty():
         return likely
     found = spool(whole(ids))
@@ -307,7 +308,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, whole: Callable[[DataFrame], Da
 
 def fingerprint_pairs(sets: DataFrame) -> DataFrame:
     """``a, b``: pairs that join all sets whose SimHash fingerprints lie within the radius."""
-    first = cut_lineage(sets.groupBy("fp").agg(F.min("id").alias("of")))
+    first = compact(cut_lineage(sets.groupBy("fp").agg(F.min("id").alias("of"))))
     known = broadcast_within(first, 16)
     same = sets.select("id", "fp").join(known, "fp").filter("id <> of").select(
         F.col("of").alias("a"), F.col("id").alias("b"))
@@ -318,7 +319,7 @@ def fingerprint_pairs(sets: DataFrame) -> DataFrame:
 
 
 def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``a, b``: links that join all sets of similarity 0.8 or more.
+    """``a, b``: pairs that join all sets that links of similarity 0.8 or more join.
 
     ``sets`` has ``id, n, prefix, wide, fp``; ``whole`` gives ``id, members`` for a table of ids.
     """
@@ -340,10 +341,12 @@ def links(sets: DataFrame, whole: Callable[[DataFrame], DataFrame]) -> DataFrame
         pairs = rooted.mapInArrow(meets[at], "a long, b long")
         if found is None:
             pairs = pairs.unionByName(fingerprint_pairs(sets))
-        pairs = cut_lineage(pairs.distinct())
-        sure = cut_lineage(confirmed(pairs, known, whole))
+        pairs = compact(cut_lineage(pairs.distinct()))
+        sure = compact(cut_lineage(confirmed(pairs, known, whole)))
         nothing = sure.isEmpty()
-        found = sure if found is None else found.unionByName(sure)
+        # the components so far stand for the links that made them
+        found = sure if found is None else sure.unionByName(
+            joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
         # a round of closest pairs that confirms nothing leaves the rest to the last round
         at = len(meets) - 1 if nothing and 0 < at < len(meets) - 1 else at + 1
     return found
@@ -354,7 +357,7 @@ def classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     late = common_members(docs, shingle)
     rows = spool(shingle_sets(docs, shingle, late)
                  .withColumn("id", F.monotonically_increasing_id()))
-    keys = cut_lineage(rows.groupBy("key").agg(F.min("id").alias("id")))
+    keys = compact(cut_lineage(rows.groupBy("key").agg(F.min("id").alias("id"))))
     sets = rows.filter("n > 0").join(broadcast_within(keys.select("id"), 16), "id", "left_semi")
     sets = sets.select("id", "n", "prefix", "wide", "fp")
 
@@ -366,15 +369,15 @@ def classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
                          for x in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))],
                                       names=["id", "members"])
-        wanted = cut_lineage(rows.join(broadcast_within(ids, 16), "id", "left_semi").select(
-            "id", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("text_hash").alias("h")))
+        wanted = compact(cut_lineage(rows.join(broadcast_within(ids, 16), "id", "left_semi").select(
+            "id", F.coalesce("doc_id", F.lit(-1)).alias("d"), F.col("text_hash").alias("h"))))
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"),
                             F.xxhash64("text").alias("h"), present(F.col("text")).alias("text"))
         return (texts.join(broadcast_within(wanted, 32), ["d", "h"]).select("id", "text")
                 .mapInArrow(run, "id long, members array<long>").dropDuplicates(["id"]))
     member = components(links(sets, whole))
-    named = cut_lineage(keys.join(member, keys["id"] == member["node"], "left").select(
-        "key", F.coalesce("root", "id").alias("class")))
+    named = compact(cut_lineage(keys.join(member, keys["id"] == member["node"], "left").select(
+        "key", F.coalesce("root", "id").alias("class"))))
     return rows.select("doc_id", "text_hash", "key").join(broadcast_within(named, 40), "key").select(
         "doc_id", "text_hash", "class")
 
@@ -386,8 +389,8 @@ def one_per_class(docs: DataFrame, shingle: int = 5) -> DataFrame:
     both, the smallest by its columns.
     """
     ordered = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    kept = cut_lineage(classes(docs, shingle).groupBy("class").agg(
-        F.min(ordered).alias("k")).select("k.doc_id", "k.text_hash"))
+    kept = compact(cut_lineage(classes(docs, shingle).groupBy("class").agg(
+        F.min(ordered).alias("k")).select("k.doc_id", "k.text_hash")))
     return keep_rows(docs, kept)
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from inquest.llm.common import broadcast_within, cut_lineage, present, spool
+from inquest.llm.common import broadcast_within, cut_lineage, few, fitted, present, spool
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))   # A-Z only
 LEAF_ROWS = 20_000        # a shard with more rows is split, up to BLOCKS' depth
@@ -236,14 +236,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the smallest node of every node's component; nodes without edges lack.
 
     Large-star hangs a node's larger neighbours below its smallest one, small-star its smaller
-    ones; both keep what is connected and end in stars.
+    ones; both keep what is connected and end in stars. A round that changes nothing is the last. The
+    pairs of a round lie in as many partitions as they need, or each of its shuffles would have the
+    tasks of all shuffle partitions, whose events the driver holds.
     """
-    def pairs(df: DataFrame) -> DataFrame:
-        return df.filter("u <> v").distinct()
-
     def star(df: DataFrame, both: bool) -> DataFrame:
         if both:
-            df = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+            df = df.select(F.explode(ends).alias("e")).select("e.u", "e.v")
         low = df.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
         joined = df.join(low, "u")
@@ -252,15 +252,25 @@ def components(edges: DataFrame) -> DataFrame:
         return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v")))
 
-    current = cut_lineage(pairs(edges.select(F.greatest("a", "b").alias("u"),
-                                             F.least("a", "b").alias("v"))))
-    mark = None
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The distinct pairs, stored, with their number and a sum that tells a change."""
+        df = cut_lineage(df)
+        fact = tuple(few(df).agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first())
+        return fitted(df, fact[0]), fact
+
+    def pairs(df: DataFrame) -> DataFrame:
+        return df.filter("u <> v").distinct()
+
+    current, mark = settled(pairs(edges.select(F.greatest("a", "b").alias("u"),
+                                               F.least("a", "b").alias("v"))))
     while True:
-        current = cut_lineage(pairs(star(pairs(star(current, True)), False)))
-        fact = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
-        if tuple(fact) == mark:
+        # no step makes more than two rows of a pair, so each fits in as many partitions as the pairs
+        large = fitted(star(current, True), mark[0])
+        small = fitted(star(large, False), mark[0])
+        current, fact = settled(fitted(pairs(small), mark[0]))
+        if fact == mark:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = tuple(fact)
+        mark = fact
 
 
 def classes(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id",

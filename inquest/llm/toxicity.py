@@ -88,7 +88,7 @@ def unit(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return term, code, weight / np.maximum(norm[term], 1e-12)
 
 
-def kernel(terms: list[str], landmarks: np.ndarray, rows: int = 1024) -> np.ndarray:
+def kernel(terms: list[str], landmarks: np.ndarray, rows: int = 128) -> np.ndarray:
     """Likeness, 0 to 1, of each term to each landmark (columns of ``landmarks``)."""
     out = np.zeros((len(terms), landmarks.shape[1]))
     for at in range(0, len(terms), rows):

@@ -193,6 +193,29 @@ def test_links_of_shards_dealt_twice(spark, monkeypatch, radius):
     assert [root(x) for x, _ in pairs] == [root(y) for _, y in pairs]
 
 
+def test_components_take_as_many_tasks_as_their_pairs_need(spark):
+    set_to = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1",
+              "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in set_to}
+    sc = spark.sparkContext
+    near = [(i, i + 1) for i in range(1, 60) if i % 20] + [(100, 101), (101, 100), (7, 7)]
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(near, "a long, b long").repartition(8, "a").localCheckpoint()
+        sc.setJobGroup("few tasks", "few tasks")
+        stars = {r.node: r.root for r in simhash.components(df).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert stars == {x: x - (x - 1) % 20 for x in range(1, 61) if (x - 1) % 20} | {101: 100}
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup("few tasks") for s in track.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for i in map(track.getStageInfo, stages) if i)
+    assert 0 < tasks < 40 * 25, tasks      # every round took 11 times the shuffle partitions
+
+
 def test_sketches(spark, monkeypatch):
     draw = random.Random(9)
     texts = TEXTS + ["\n".join(f"line {draw.randint(0, 80)}." for _ in range(n))
