@@ -1,14 +1,14 @@
 """SimHash near-duplicates, linked through sharded vantage-point trees.
 
-A fingerprint sums the bits of its word shingles' hashes. Distinct fingerprints are dealt to
-shards by their Hamming distances to a vantage point. The distance is kept per block of bits,
-because a triangle bound holds for each block: two fingerprints within the radius differ, over
-all blocks together, by no more than the radius in their distances to the vantage point. So a
-fingerprint visits its own shard and those that overlap its boundary within the radius. A
-shard with too many rows is a branch of the tree: it is dealt again by another vantage point
-and finer blocks. In a leaf, the exact distance of every remaining pair is counted, in blocks
-of bounded size. A leaf reports a spanning forest of its links, so a group of near copies
-costs as many rows as it has members and yet loses no link.
+A fingerprint sums the bits of its word shingles' hashes. Its bits are dealt to one band more than
+the radius, a band's bits to blocks, and the distance to a vantage point is kept per block. A triangle
+bound holds for each block: two fingerprints within the radius differ, over all blocks together, by no
+more than the radius in their distances to the vantage point, so in one band at least they do not differ.
+Distinct fingerprints are dealt to one shard for each band, by its distances, and visit no other. A shard
+with too many rows is a branch of the tree: it is dealt again by finer blocks of its band, which makes no
+more rows, and at last by bands of another dealing of all bits. In a leaf, the exact distance of every
+remaining pair is counted, in blocks of bounded size. A large leaf reports a spanning forest of its links,
+so a group of near copies costs as many rows as it has members and yet loses no link.
 
 Classes are the connected components of all links, by alternating large-star and small-star
 steps, each cut by a checkpoint.
@@ -32,7 +32,8 @@ from inquest.llm.common import broadcast_within, cut_lineage, few, fitted, prese
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))   # A-Z only
 LEAF_ROWS = 20_000        # a shard with more rows is split, up to BLOCKS' depth
-BLOCKS = (4, 8, 16)       # blocks of bits at each depth of the tree
+BLOCKS = (2, 1, 1)        # bits of a block at each depth of the tree
+FINER = (1,)              # depths that cut the bands of the depth before into finer blocks
 PAIRS = 1 << 22           # pairs compared at once in a leaf
 
 
@@ -79,74 +80,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
         run, "doc_id long, fp long")
 
 
-def block_masks(blocks: int, depth: int) -> list[int]:
-    """Which bits belong to each block; another dealing of the bits at each depth."""
-    bits = np.random.default_rng(depth).permutation(64)
-    return [int(sum(1 << int(b) for b in part)) for part in np.array_split(bits, blocks)]
+def block_masks(depth: int, bands: int) -> list[list[int]]:
+    """Which bits belong to each block of each band; another dealing of the bits where not finer."""
+    bits = np.random.default_rng(depth - (depth in FINER)).permutation(64)
+    return [[int(sum(1 << int(b) for b in part)) for part in np.array_split(
+        band, max(1, len(band) // BLOCKS[depth]))] for band in np.array_split(bits, bands)]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def offsets(blocks: int, radius: int) -> list[tuple[int, ...]]:
-    """All differences of block distances within the radius, one of each opposite pair.
-
-    Of two fingerprints at home that overlap each other's boundary only one need visit the other.
-    """
-    found = [()]
-    for _ in range(blocks):
-        found = [x + (d,) for x in found for d in range(-radius, radius + 1)
-                 if sum(map(abs, x)) + abs(d) <= radius]
-    return [x for x in found if next((d for d in x if d), 0) > 0]
-
-
 def deal(rows: DataFrame, vantage: int, depth: int, radius: int) -> DataFrame:
-    """``shard, fp, home``: every fingerprint in its own shard and in those it must visit.
+    """``shard, band, fp``: every fingerprint in a shard of each band, or in a finer one of its band.
 
-    A row that only visits is dealt on without a home, and visits at both signs of the offsets:
-    the row at home that it must meet may lie at either. ``shard`` of the row before is kept as
-    a part of the key.
+    ``shard`` of the row before is kept as a part of the key.
     """
-    blocks = BLOCKS[depth]
-    masks = block_masks(blocks, depth)
-    width = 64 // blocks + 1 + 2 * radius
-    apart = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(vantage))).bitwiseAND(
-        F.lit(signed(m)))).cast("long") for m in masks]
-    # mixed radix; wraps beyond 64 bits only for 16 blocks, where it merely joins shards
-    weights = [signed(pow(width, i, 1 << 64)) for i in range(blocks)]
-    place = reduce(lambda a, b: a + b, [d * F.lit(w) for d, w in zip(apart, weights)])
-    half = [sum(d * w for d, w in zip(x, weights)) for x in offsets(blocks, radius)]
-
-    def visited(shifts: list[int]) -> Column:
-        return F.transform(F.lit([signed(x % (1 << 64)) for x in shifts]).cast("array<bigint>"),
-                           lambda s: F.struct(s.alias("shift"), F.lit(False).alias("own")))
-
     key = [F.col("shard")] if "shard" in rows.columns else []
-    home = F.col("home") if "home" in rows.columns else F.lit(True)
-    own = F.array(F.struct(F.lit(0).cast("long").alias("shift"), F.lit(True).alias("own")))
-    there = visited(half)
-    if key:
-        there = F.when(home, there).otherwise(visited(half + [-x for x in half]))
-    visits = F.explode(F.concat(own, there))
-    dealt = rows.select(*key, "fp", home.alias("home"), place.alias("place"), visits.alias("v"))
-    return dealt.select(F.xxhash64(*key, F.col("place") + F.col("v.shift")).alias("shard"), "fp",
-                        (F.col("home") & F.col("v.own")).alias("home"))
+    from_vantage = F.col("fp").bitwiseXOR(F.lit(signed(vantage)))
+    shards = F.array(*[
+        F.xxhash64(*key, F.lit(band), *[F.bit_count(from_vantage.bitwiseAND(F.lit(signed(m))))
+                                        for m in masks])
+        for band, masks in enumerate(block_masks(depth, radius + 1))])
+    if depth in FINER:
+        return rows.select(F.get(shards, F.col("band")).alias("shard"), "band", "fp")
+    return rows.select(F.posexplode(shards).alias("band", "shard"), "fp").select(
+        "shard", "band", "fp")
 
 
 def leaf_links(radius: int):
     """Per task: the links within each of its shards, as a spanning forest."""
-    def forest(fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = np.arange(len(fp))
-        homes = np.nonzero(home)[0]
         step = max(1, PAIRS // len(fp))
-        for at in range(0, len(homes), step):
-            mine = homes[at:at + step]
-            near = np.bitwise_count(fp[mine][:, None] ^ fp[None, :]) <= radius
+        for at in range(0, len(fp), step):
+            near = np.bitwise_count(fp[at:at + step][:, None] ^ fp[None, at:]) <= radius
             a, b = np.nonzero(near)
-            a = mine[a]
-            keep = a != b
-            a, b = a[keep], b[keep]
+            keep = a < b
+            a, b = a[keep] + at, b[keep] + at
             while len(a):                    # hook the larger root below the smaller, then flatten
                 ra, rb = root[a], root[b]
                 open_ = ra != rb
@@ -160,39 +131,35 @@ def leaf_links(radius: int):
         return fp[low], fp[root[low]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, fps, homes = [], [], []
+        shards, fps = [], []
         for part in parts:
             shards.append(np.asarray(part.column(0), dtype=np.int64))
             fps.append(np.asarray(part.column(1), dtype=np.int64).view(np.uint64))
-            homes.append(np.asarray(part.column(2).to_numpy(zero_copy_only=False), dtype=bool))
         if not shards:
             return
-        shard, fp, home = map(np.concatenate, (shards, fps, homes))
+        shard, fp = map(np.concatenate, (shards, fps))
         order = np.argsort(shard, kind="stable")
-        shard, fp, home = shard[order], fp[order], home[order]
+        shard, fp = shard[order], fp[order]
         cuts = np.concatenate([[0], np.nonzero(np.diff(shard))[0] + 1, [len(shard)]])
         size = np.diff(cuts)
         out_a, out_b = [], []
-        # small shards together: every pair of a home and another row of its shard
+        # small shards together: every pair
         small = np.nonzero((size > 1) & (size <= 64))[0]
         for n in np.unique(size[small]):
             starts = cuts[small[size[small] == n]]
             rows = max(1, PAIRS // int(n * n))
             for at in range(0, len(starts), rows):
                 block = starts[at:at + rows, None] + np.arange(n)
-                f, h = fp[block], home[block]
+                f = fp[block]
                 near = np.bitwise_count(f[:, :, None] ^ f[:, None, :]) <= radius
-                near &= h[:, :, None]
                 g, i, j = np.nonzero(near)
-                keep = f[g, i] != f[g, j]
+                keep = i < j
                 out_a.append(f[g, i][keep])
                 out_b.append(f[g, j][keep])
         for s in np.nonzero(size > 64)[0]:
-            at = slice(cuts[s], cuts[s + 1])
-            if home[at].any():
-                a, b = forest(fp[at], home[at])
-                out_a.append(a)
-                out_b.append(b)
+            a, b = forest(fp[cuts[s]:cuts[s + 1]])
+            out_a.append(a)
+            out_b.append(b)
         if out_a:
             a, b = np.concatenate(out_a).view(np.int64), np.concatenate(out_b).view(np.int64)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -209,25 +176,20 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     none = fps.sparkSession.createDataFrame([], "a long, b long")
     if vantage is None:
         return none
-    rows, leaves = spool(deal(fps.select("fp"), vantage % (1 << 64), 0, radius)), []
+    rows, leaves = deal(fps.select("fp"), vantage % (1 << 64), 0, radius), []
     for depth in range(1, len(BLOCKS)):
-        counts = rows.groupBy("shard").agg(
-            F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(depth))).alias("v"))
-        heavy = cut_lineage(counts.filter(F.col("n") > LEAF_ROWS).select("shard"))
+        heavy = cut_lineage(rows.groupBy("shard").agg(F.count("*").alias("n"))
+                            .filter(F.col("n") > LEAF_ROWS).select("shard"))
         if heavy.isEmpty():
             break
+        heavy = broadcast_within(heavy, 16)
         leaves.append(rows.join(heavy, "shard", "left_anti"))
         vantage = ~vantage if depth % 2 else vantage * 31
-        again = rows.join(heavy, "shard", "left_semi")
-        # a visit counts only where some row is at home
-        homes = cut_lineage(deal(again.filter("home"), vantage % (1 << 64), depth, radius)
-                            .filter("home").select("shard").distinct())
-        rows = spool(deal(again, vantage % (1 << 64), depth, radius)
-                     .join(broadcast_within(homes, 16), "shard", "left_semi"))
+        rows = spool(deal(rows.join(heavy, "shard", "left_semi"), vantage % (1 << 64), depth, radius))
     leaves.append(rows)
     spark = fps.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = [x.select("shard", "fp", "home").repartition(parts, "shard")
+    found = [x.select("shard", "fp").repartition(parts, "shard")
              .mapInArrow(leaf_links(radius), "a long, b long") for x in leaves]
     return reduce(DataFrame.unionByName, found)
 

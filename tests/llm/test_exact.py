@@ -193,6 +193,29 @@ def test_links_of_shards_dealt_twice(spark, monkeypatch, radius):
     assert [root(x) for x, _ in pairs] == [root(y) for _, y in pairs]
 
 
+@pytest.mark.parametrize("radius", [2, 3])
+def test_dealing_makes_a_bounded_number_of_rows(spark, monkeypatch, radius):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 2)
+    draw, made, deal = random.Random(radius), [], simhash.deal
+
+    def counted(rows, vantage, depth, radius):
+        made.append((depth, rows.count(), deal(rows, vantage, depth, radius).count()))
+        return deal(rows, vantage, depth, radius)
+    monkeypatch.setattr(simhash, "deal", counted)
+    base = draw.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in draw.sample(range(64), 8)) for _ in range(200)}
+    df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    stars = {r.node: r.root for r in simhash.components(simhash.links(df, radius)).collect()}
+    # 21 and 65 rows of a fingerprint before, then 73 to 833 of each of those
+    assert made[0][1:] == (len(fps), (radius + 1) * len(fps)) and {d for d, _, _ in made} == {0, 1, 2}
+    assert all(out <= (n if depth == 1 else (radius + 1) * n) for depth, n, out in made)
+    for x in fps:
+        for y in fps:
+            if (x ^ y).bit_count() <= radius:
+                a, b = simhash.signed(x), simhash.signed(y)
+                assert stars.get(a, a) == stars.get(b, b)
+
+
 def test_components_take_as_many_tasks_as_their_pairs_need(spark):
     set_to = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "-1",
               "spark.sql.adaptive.coalescePartitions.enabled": "false"}
