@@ -9,7 +9,9 @@ Two sets of similarity 0.8 or more share one of their first ``n - ceil(0.8 n) +
 any order that holds for all sets (prefix filter), so every such pair meets under a shared
 member. The order is by hash, with members that a sample shows to be common put last; the sample
 only decides how many pairs meet, never which links are found. Prefixes are stored, whole sets
-are not: members that occur in one prefix are counted out before anything else is kept.
+are not: members that occur in one prefix are counted out before anything else is kept. A bounded table
+of bits tells most of them where the prefixes are read, so that only members that several prefixes may
+hold become rows, which carry sketches and may be dealt anew.
 
 Sets that share a member form a list. A long list is dealt into blocks, and each pair of blocks is
 a cell of its own, so no task gets a whole hot list and no pair meets twice. Pairs are ruled out
@@ -47,6 +49,7 @@ LIST = 4096               # rows of a block of a list
 PAIRS = 1 << 18           # pairs compared at once in a task
 CLOSEST = 1               # rounds that compare each set with its closest open one
 SKETCH = 256              # bits of the smallest sketch
+TABLE = 21                # the table of shared members has at most 2^TABLE words of 64 bits
 RADIUS = 3                # fingerprints that differ in so many bits are looked at first
 
 
@@ -148,15 +151,40 @@ def shingle_sets(docs: DataFrame, shingle: int, late: np.ndarray) -> DataFrame:
         run, "doc_id long, text_hash long, key binary, n int, prefix array<long>, wide binary, fp long")
 
 
-def narrow(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: the sketch of each row folded to four numbers, for the lists."""
-    for part in parts:
-        small = [folded(w, SKETCH // 8).to_bytes(SKETCH // 8, "little")
-                 for w in part.column(2).to_pylist()]
-        words = np.frombuffer(b"".join(small), dtype=np.int64).reshape(-1, 4)
-        yield pa.record_batch([part.column(0), part.column(1), part.column(3),
-                               *(pa.array(words[:, k]) for k in range(4))],
-                              names=["id", "n", "prefix", "s0", "s1", "s2", "s3"])
+def bit_table(members: DataFrame) -> np.ndarray:
+    """Bits of which ``member`` sets the one that its last bits name: some 16 a member, of a bounded number."""
+    size = 1 << min(TABLE, (members.count() // 4).bit_length())
+    word = F.shiftrightunsigned("member", 6).bitwiseAND(F.lit(size - 1))
+    rows = members.groupBy(word.alias("word")).agg(F.bit_or(F.expr(
+        "shiftleft(1L, CAST(member & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(size, dtype=np.uint64)
+    table[np.asarray(rows.column("word"), dtype=np.int64)] = np.asarray(
+        rows.column("bits"), dtype=np.int64).view(np.uint64)
+    return table
+
+
+def posted(sets: DataFrame, table: np.ndarray) -> DataFrame:
+    """``id, n, at, member, s0 .. s3``: the places of the members whose bit is set, with the set's sketch
+    folded to four numbers."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for start in range(0, part.num_rows, 1024):
+                ids, n, wide, prefix = part.slice(start, 1024).columns
+                size = np.asarray(prefix.value_lengths(), dtype=np.int64)
+                flat = np.asarray(prefix.flatten(), dtype=np.int64)
+                member = flat.view(np.uint64)
+                word = table[(member >> np.uint64(6)) & np.uint64(len(table) - 1)]
+                kept = np.nonzero(word >> (member & np.uint64(63)) & np.uint64(1))[0]
+                of = np.repeat(np.arange(len(size)), size)[kept]
+                at = kept - (np.cumsum(size) - size)[of]
+                small = [folded(w, SKETCH // 8).to_bytes(SKETCH // 8, "little") for w in wide.to_pylist()]
+                words = np.frombuffer(b"".join(small), dtype=np.int64).reshape(-1, 4)[of]
+                yield pa.record_batch([ids.take(pa.array(of)), n.take(pa.array(of)),
+                                       pa.array(at.astype(np.int32)), pa.array(flat[kept]),
+                                       *(pa.array(words[:, k]) for k in range(4))],
+                                      names=["id", "n", "at", "member", "s0", "s1", "s2", "s3"])
+    return sets.select("id", "n", "wide", "prefix").mapInArrow(
+        run, "id long, n int, at int, member long, s0 long, s1 long, s2 long, s3 long")
 
 
 def cells(sets: DataFrame) -> DataFrame:
@@ -165,13 +193,9 @@ def cells(sets: DataFrame) -> DataFrame:
     In a cell of two blocks (two salts) rows of different blocks are to be compared, in a cell of
     one block all.
     """
-    rows = sets.select("id", "n", "wide", "prefix").mapInArrow(
-        narrow, "id long, n int, prefix array<long>, s0 long, s1 long, s2 long, s3 long")
-    posted = rows.select("id", "n", F.posexplode("prefix").alias("at", "member"),
-                         "s0", "s1", "s2", "s3")
     many = spool(sets.select(F.explode("prefix").alias("member")).groupBy("member")
                  .agg(F.count("*").alias("c")).filter("c > 1"))
-    met = posted.join(broadcast_within(many, 16), "member")
+    met = posted(sets, bit_table(many)).join(broadcast_within(many, 16), "member")
     blocks = F.ceil(F.col("c") / LIST).cast("int")
     salt = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda t: F.struct(
@@ -358,7 +382,9 @@ def classes(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows = spool(shingle_sets(docs, shingle, late)
                  .withColumn("id", F.monotonically_increasing_id()))
     keys = compact(cut_lineage(rows.groupBy("key").agg(F.min("id").alias("id"))))
-    sets = rows.filter("n > 0").join(broadcast_within(keys.select("id"), 16), "id", "left_semi")
+    # the repeats are fewer than the sets: where they fit a broadcast no prefix travels
+    again = compact(cut_lineage(rows.select("id").join(keys.select("id"), "id", "left_anti")))
+    sets = rows.filter("n > 0").join(broadcast_within(again, 16), "id", "left_anti")
     sets = sets.select("id", "n", "prefix", "wide", "fp")
 
     def whole(ids: DataFrame) -> DataFrame:

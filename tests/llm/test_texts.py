@@ -262,6 +262,30 @@ def test_sketches_bound_the_difference():
     assert shinglesets.apart(shinglesets.sketch(a), shinglesets.sketch(a)) == 0
 
 
+def test_only_shared_members_become_rows(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(200)) for _ in range(60)]
+    texts += [t + " and one more" for t in texts[:10]] + texts[50:]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, real = [], shinglesets.cells
+
+    def spy(sets):
+        shared = (sets.selectExpr("explode(prefix) AS member").groupBy("member").count()
+                  .filter("count > 1").select("member"))
+        rows = shinglesets.posted(sets, shinglesets.bit_table(shared)).collect()
+        held = {(r.id, k, m) for r in sets.collect() for k, m in enumerate(r.prefix)}
+        seen.append((held, {r.member for r in shared.collect()}, rows, sets.count()))
+        return real(sets)
+    monkeypatch.setattr(shinglesets, "cells", spy)
+    kept = {r.doc_id for r in shinglesets.one_per_class(df.repartition(3)).collect()}
+    held, shared, rows, n = seen[0]
+    got = {(r.id, r.at, r.member) for r in rows}
+    assert len(got) == len(rows) and got <= held
+    assert {x for x in held if x[2] in shared} <= got           # none is lost
+    assert shared and len(got) < len(held) / 2                  # all were dealt before
+    assert kept == set(range(60)) and n == 70                   # the ten repeats are no sets
+
+
 def test_near_copies_keep_columns_named_like_helpers(spark):
     df = spark.createDataFrame([(1, "a b", "h", 1, 5), (2, "A b", "i", 2, 6), (3, "c", "j", 3, 7)],
                                "doc_id long, text string, hash string, nth int, __hash int")
