@@ -251,6 +251,27 @@ def test_similar_labels_of_a_wide_column(spark):
     assert got == want and len(want) > 500
 
 
+def test_similar_long_labels_meet_in_pieces(spark, monkeypatch):
+    import difflib
+    monkeypatch.setattr(profiling, "PIECE", 7)
+    rng = np.random.default_rng(8)
+    syllables = ["an", "the", "ti", "on", "ere", "ble"]
+    labels = {"".join(rng.choice(syllables, rng.integers(4, 8))) for _ in range(220)}
+    labels |= {s[:k] + s[k + 1:] for s in sorted(labels) if (k := int(rng.integers(0, len(s)))) % 3 == 0}
+    labels |= {"ananananananan", "anananananananan"}             # neighbours that a label repeats
+    labels, want = sorted(x for x in labels if len(x) >= 4), {}
+    for i, a in enumerate(labels):
+        for b in labels[i + 1:]:
+            if abs(len(a) - len(b)) <= 3:
+                ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+                if ratio >= 0.8:
+                    want[a, b] = ratio
+    found = profiling.similar_labels(spark.createDataFrame([(s,) for s in labels], "c string"), ["c"])
+    assert {(r.label, r.other): r.ratio for r in found.collect()} == want and len(want) > 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1                    # on distinct pairs, behind the last shuffle
+
+
 def test_duplicates_by_hashes_first(spark):
     rows = [(None, 1.0, "a"), (None, 1.0, "a"), ("a", None, None), (None, None, "a"), ("x", -0.0, "b"),
                                ("x", 0.0, "b"), ("y", float("nan"), "c"), ("y", float("nan"), "c"), ("z", 2.0, "d")]
